@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_files, url_filters, warc
+from . import exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_files, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_token_files": token_files.op8_token_files,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
