@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_files, url_filters, warc
+from . import exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, token_files, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
