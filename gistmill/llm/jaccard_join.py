@@ -60,8 +60,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def token_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    """Sorted distinct shingle hashes of each lower-cased text."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     rows, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
     keep = pc.not_equal(flat, "")
     rows, coded = rows[keep.to_numpy(zero_copy_only=False)], pc.dictionary_encode(flat.filter(keep))
@@ -292,7 +292,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("text"))
     sized = write_table(_sized(docs), "sized")
     stats = sized.agg(F.sum("n_shingles").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
     tokens = stats["tokens"] or 0
