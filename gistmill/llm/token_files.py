@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import work_dir, write_table
 
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 PART_DOCS = 20_000
 PART_SCHEMA = pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 _RUN = re.compile(r"\s\s")
@@ -75,6 +75,17 @@ class Encoder:
         return [(next(odd) if c is None else b"".join(map(known.__getitem__, c))) + self.end for c in cut]
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(*setting) -> Encoder:
+    """The worker's encoder: it and the pieces it knows outlive a task."""
+    if setting not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[setting] = Encoder(*setting)
+    return _ENCODERS[setting]
+
+
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -144,10 +155,10 @@ def write_tokens(docs: DataFrame, folder: str, definition: str, *, end_id: int |
     cuts = _ranges(docs.select("doc_id"), part_docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*setting.value)
+        encoder = _encoder(*setting.value)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                c = b.slice(i, 512)
+            for i in range(0, b.num_rows, 256):
+                c = b.slice(i, 256)
                 packed = encoder([x or "" for x in c["text"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([c["part"], c["doc_id"], pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
 
