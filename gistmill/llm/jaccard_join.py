@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import skew_join, write_table
+from .common import pieces, skew_join, write_table
 
 SHINGLE = 4
 PERCENT = 85
@@ -136,18 +136,6 @@ def _key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes())
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``size`` bytes of text, or one row."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + size)))
-            yield b.slice(at, to - at)
-            at = to
-
-
 def _dealt(values: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(bucket, kind="stable")
     values, bucket = values[order], bucket[order]
@@ -169,7 +157,7 @@ def frequent_tokens(docs: DataFrame, buckets: int, n_words: int) -> np.ndarray:
     one, many = 0, 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             low = [s[: np.searchsorted(s, limit)] for s in token_sets(b["text"])]
             t, n = np.unique(np.concatenate(low) if low else np.zeros(0, "u8"), return_counts=True)
             bucket = (t % np.uint64(buckets)).astype("i4")
@@ -196,7 +184,7 @@ def posting_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             rows = []
             for doc, tokens in zip(b["doc_id"].to_pylist(), token_sets(b["text"]), strict=True):
                 sig = signatures(tokens, shared.value)
@@ -263,7 +251,7 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([s.tobytes() for s in token_sets(b["text"])], pa.binary())], names=["doc_id", "tokens"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +297,7 @@ def _sized(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key (null: empty set), sketch of every row."""
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             sets = token_sets(b["text"])
             keys = [int(np.uint64(_key(s)).view("i8")) if len(s) else None for s in sets]
             columns = [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]

@@ -4,7 +4,7 @@ A word stands for the hashed vectors of itself and of its character n-grams (3 t
 with word bounds), two words in a row for a vector of the pair. A document is the average
 of all of them, followed by a softmax layer; everything is learned together by stochastic
 gradient descent in numpy. Scores are then linear in the average, so a word's share of
-the score is one number, computed once for each distinct word.
+the score is one number, computed once for each distinct word of a piece of a batch.
 
 Training uses at most ``MAX_TRAIN`` labelled rows (documented bound), those with the least hash
 of doc_id, as hashed feature counts made on the executors from whole texts, at most ``MAX_FEATURES``
@@ -29,30 +29,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import documents, pieces, write_table
+
 BUCKETS = 1 << 17
 DIM = 8
 EPOCHS = 6
 RATE = 0.5
 MAX_TRAIN = 6000
 MAX_FEATURES = 4000
-REMEMBERED = 400_000
 THRESHOLD = 0.3
-
-
-def word_features(word: str) -> list[int]:
-    """Buckets of a word: itself and its character n-grams."""
-    w = f"<{word}>"
-    if len(w) > 64:  # a very long word keeps its ends' n-grams, and itself
-        w = w[:32] + w[-32:]
-    grams = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
-    return [zlib.crc32(x.encode()) % BUCKETS for x in sorted(grams)] + [zlib.crc32(b"w" + word.encode()) % BUCKETS]
+_ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, index of its word) of each feature of ``words``, the words themselves and their character n-grams; hashes of the words."""
+    own = np.fromiter((zlib.crc32(w.encode()) for w in words), "u8", len(words))
+    marked = [f"<{w}>" for w in words]
+    chars = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype("u8")
+    size = np.fromiter(map(len, marked), "i8", len(words))
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(chars))  # characters from here to the word's end
+    ids, owner = [_bucket(own + np.uint64(1))], [np.arange(len(words))]
+    gram = np.zeros(len(chars), "u8")
+    for n in range(1, 6):
+        gram = gram[: len(chars) - n + 1] * _ODD + chars[n - 1 :] if len(chars) >= n else chars[:0]
+        if n >= 3:
+            inside = left[: len(gram)] >= n
+            ids.append(_bucket(gram[inside] + np.uint64(n)))
+            owner.append(word[: len(gram)][inside])
+    return np.concatenate(ids), np.concatenate(owner), own
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _EVEN
+    return ((x >> np.uint64(29)) % np.uint64(BUCKETS)).astype("i8")
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
     """Buckets of words in a row."""
-    a, b = hashes[:-1].astype("u8"), hashes[1:].astype("u8")
-    x = a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((x >> np.uint64(29)) % np.uint64(BUCKETS)).astype("i8")
+    return _bucket(hashes[:-1] * _ODD + hashes[1:])
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -71,49 +86,31 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def __post_init__(self) -> None:
-        self.known: dict[str, tuple[float, int, int]] = {}
-
-    def word(self, word: str) -> tuple[float, int, int]:
-        """Sum of weights, number of features, hash."""
-        f = word_features(word)
-        return float(self.weight[f].sum()), len(f), zlib.crc32(word.encode())
-
     def scores(self, texts: pa.Array) -> np.ndarray:
         rows, index, words = split_words(texts)
         n = len(texts)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self.word(w)
-        table = np.array([self.known[w] for w in words], "f8").reshape(-1, 3)
-        total = np.bincount(rows, table[index, 0], n)
-        count = np.bincount(rows, table[index, 1], n)
+        ids, owner, hashes = word_features(words)
+        total = np.bincount(rows, np.bincount(owner, self.weight[ids], len(words))[index], n)
+        count = np.bincount(rows, np.bincount(owner, minlength=len(words))[index], n)
         if len(index) > 1:
             same = rows[1:] == rows[:-1]
-            total += np.bincount(rows[1:][same], self.weight[_pairs(table[index, 2].astype("i8"))[same]], n)
+            total += np.bincount(rows[1:][same], self.weight[_pairs(hashes[index])[same]], n)
             count += np.bincount(rows[1:][same], minlength=n)
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[list[int], int]] = {}
     for b in batches:
         for i in range(b.num_rows):
             _, index, words = split_words(b["text"].slice(i, 1))
-            for w in words:
-                if w not in known:
-                    known[w] = word_features(w), zlib.crc32(w.encode())
-            times = np.bincount(index, minlength=len(words)) if len(index) else np.zeros(0, "i8")
-            parts = [np.repeat(np.array(known[w][0], "i8"), t) for w, t in zip(words, times.tolist(), strict=True)]
+            ids, owner, hashes = word_features(words)
+            counts = np.bincount(ids, np.bincount(index, minlength=len(words))[owner], BUCKETS)
             if len(index) > 1:
-                parts.append(_pairs(np.array([known[w][1] for w in words], "i8")[index]))
-            ids, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, "i8"), return_counts=True)
+                counts += np.bincount(_pairs(hashes[index]), minlength=BUCKETS)
+            ids = np.flatnonzero(counts)
+            n = counts[ids]
             row = [int(b["doc_id"][i].as_py()), int(b["label"][i].as_py()), ids[:MAX_FEATURES].astype("<i4").tobytes(), (n[:MAX_FEATURES] / max(1, n.sum())).astype("<f4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["doc_id", "label", "ids", "share"])
-        if len(known) > REMEMBERED:
-            known.clear()
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Model:
@@ -125,6 +122,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = DIM, epo
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype("f4")
     out = rng.uniform(-0.5, 0.5, (2, dim)).astype("f4")
+    whole = emb.view(f"V{4 * dim}")[:, 0]  # a row as one item, which is quicker to put back
+    held, spare = (np.empty((max(len(ids) for _, ids, _ in rows), dim), "f4") for _ in range(2))
     bias = np.zeros(2, "f4")
     balance = (len(rows) / (2 * (len(rows) - ones)), len(rows) / (2 * ones))
     steps, total = 0, epochs * len(rows)
@@ -133,7 +132,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = DIM, epo
             label, ids, share = rows[k]
             lr = rate * (1 - steps / total)
             steps += 1
-            hidden = share @ emb[ids]
+            ids, own, change = ids.astype("i8"), held[: len(ids)], spare[: len(ids)]
+            np.take(emb, ids, axis=0, out=own, mode="clip")
+            hidden = share @ own
             z = out @ hidden + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -142,7 +143,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = DIM, epo
             back = g @ out
             out -= lr * np.outer(g, hidden)
             bias -= lr * g
-            emb[ids] -= (lr * share)[:, None] * back * min(len(ids), 50)
+            own -= np.multiply.outer(share, (lr * min(len(ids), 50) * back).astype("f4"), out=change)
+            whole[ids] = own.view(whole.dtype)[:, 0]
     return Model((emb @ (out[1] - out[0])).astype("f4"), float(bias[1] - bias[0]))
 
 
@@ -156,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
     chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_train rows at most
     seen = texts.select(F.col("doc_id").cast("long"), F.col("label").cast("long"), "text").mapInArrow(_count_features, "doc_id long, label long, ids binary, share binary")
-    rows = sorted((r["doc_id"], r["label"], bytes(r["ids"]), bytes(r["share"])) for r in seen.toLocalIterator())
+    rows = sorted((r["doc_id"], r["label"], bytes(r["ids"]), bytes(r["share"])) for r in write_table(seen, "features").toLocalIterator())
     return train([(label, np.frombuffer(i, "<i4"), np.frombuffer(s, "<f4")) for _, label, i, s in rows])
 
 
@@ -166,11 +168,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                values = pa.array(shared.value.scores(b.column(b.schema.get_field_index("text"))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, "score"])
+        for b in pieces(batches):
+            values = pa.array(shared.value.scores(b["text"]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -183,8 +183,6 @@ def classify_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import documents
-
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs, model).select("doc_id", "score")
