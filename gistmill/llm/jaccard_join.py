@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, skew_join, write_table
+from .common import SPACES, pieces, skew_join, write_table
 
 SHINGLE = 4
 PERCENT = 85
@@ -50,6 +50,7 @@ COUNTED = 0.3
 MIN_TAU, MAX_FREQUENT = 32, 500_000
 BUCKET_BYTES = 16 << 20
 SKETCH_BITS = 1024
+HASH_BYTES = 1 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _POSTING = np.dtype([("sig", "<u8"), ("key", "<u8"), ("doc", "<i8")])
 
@@ -61,28 +62,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _word_codes() -> np.ndarray:
+    """A 64-bit code of each byte; A-Z have those of a-z."""
+    codes = _mix((np.arange(256, dtype="u8") + np.uint64(1)) * _M[2])
+    codes[ord("A") : ord("Z") + 1] = codes[ord("a") : ord("z") + 1]
+    return codes
+
+
+_CODES = _word_codes()
+_IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
+_BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, so that it has an inverse modulo 2 ** 64
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: dict[np.uint64, np.ndarray] = {}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
+    if base not in _powers or len(_powers[base]) < n:
+        x = np.full(max(n, HASH_BYTES + 1), base, "u8")
+        x[0] = 1
+        _powers[base] = np.cumprod(x, dtype="u8")
+    return _powers[base][:n]
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes, modulo 2 ** 64, of the words ``data[start:end]``, in blocks of about HASH_BYTES."""
+    out, at = np.zeros(len(starts), "u8"), 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + HASH_BYTES)))
+        part = data[first : int(ends[to - 1])]
+        sums = np.zeros(len(part) + 1, "u8")
+        np.cumsum(_CODES[part] * _power(_BASE, len(part)), out=sums[1:])
+        s, e = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = _mix((sums[e] - sums[s]) * _power(_UNBASE, len(part))[s])
+        at = to
+    return out
+
+
 def token_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each lower-cased text."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    rows, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
-    keep = pc.not_equal(flat, "")
-    rows, coded = rows[keep.to_numpy(zero_copy_only=False)], pc.dictionary_encode(flat.filter(keep))
-    words = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], "u8")
-    h = words[coded.indices.to_numpy()] if len(rows) else np.zeros(0, "u8")
-    ends = np.searchsorted(rows, np.arange(len(texts) + 1))
-    out = []
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        w = h[a:b]
-        if len(w) == 0:
-            out.append(w)
-        elif len(w) < shingle:
-            out.append(_mix(np.array([xxhash.xxh3_64_intdigest(w.tobytes())], "u8")))
+    """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or bounds[0] == bounds[-1]:
+        return [np.zeros(0, "u8")] * len(texts)
+    data = np.frombuffer(texts.buffers()[2], "u1")[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = ~_IS_SPACE[data]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    rows = bounds[:-1][np.diff(bounds) > 0]
+    new[rows] = inside[rows]  # words end with their text
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | new[1:]
+    starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
+    h, cuts = _word_hashes(data, starts, ends), np.searchsorted(starts, bounds)
+    rolled = h[: max(0, len(h) - shingle + 1)].copy()
+    for i in range(1, shingle):
+        rolled = (rolled ^ (rolled >> np.uint64(31))) * _M[0] + h[i : i + len(rolled)] * _M[1]
+    rolled, out = _mix(rolled), []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a == b:
+            out.append(np.zeros(0, "u8"))
+        elif b - a < shingle:
+            out.append(_mix(np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes())], "u8")))
         else:
-            n = len(w) - shingle + 1
-            x = w[:n].copy()
-            for i in range(1, shingle):
-                x = (x ^ (x >> np.uint64(31))) * _M[0] + w[i : i + n] * _M[1]
-            out.append(np.unique(_mix(x)))
+            x = np.sort(rolled[a : b - shingle + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
     return out
 
 
@@ -309,8 +355,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = write_table(_sized(docs), "sized")
     stats = sized.agg(F.sum("n_shingles").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
     tokens = stats["tokens"] or 0
