@@ -18,8 +18,8 @@ frequent: that list (8 bytes each) is what is broadcast.
 Documents with equal token sets are one node, represented by their least doc_id. In a posting list
 the node with the least doc_id is checked with all others (a star); links make components; lists that
 still hold several components then give their pairs across components, so no link is
-lost and a group of copies never emits all its pairs. Sizes and 128-byte parity sketches first rule out pairs that
-cannot be linked (a bound, never a guess); checks compare whole sets.
+lost and a group of copies never emits all its pairs. Sizes, 128-byte parity sketches and then fine ones of a bit or
+two a token first rule out pairs that cannot be linked (a bound, never a guess); checks compare whole sets.
 
 Rows move as packed arrays, one binary value per map batch and bucket, after equal entries
 of a batch are merged.
@@ -51,6 +51,7 @@ MIN_TAU, MAX_FREQUENT = 32, 500_000
 BUCKET_BYTES = 16 << 20
 SKETCH_BITS = 1024
 HASH_BYTES = 1 << 20
+MAX_BROADCAST_IDS = 1_000_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _POSTING = np.dtype([("sig", "<u8"), ("key", "<u8"), ("doc", "<i8")])
 
@@ -266,35 +267,58 @@ def posting_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFr
     return found.dropDuplicates(["list_id"])
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the token counts in SKETCH_BITS buckets: two sketches differ in no more places than their sets differ in tokens."""
-    n = np.bincount((tokens >> np.uint64(8)).astype("u8") % np.uint64(SKETCH_BITS), minlength=SKETCH_BITS)
+def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parities of the token counts in ``bits`` buckets: two sketches differ in no more places than their sets differ in tokens."""
+    n = np.bincount((tokens >> np.uint64(8)) % np.uint64(bits), minlength=bits)
     return np.packbits((n & 1).astype("u1")).tobytes()
 
 
-def plausible_pairs(pairs: DataFrame, sized: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs`` that sizes and sketches do not rule out; a linked pair always stays.
+def fine_bits(n: int) -> int:
+    """Bits of the fine sketch of a set of n tokens: a power of two, one or two bits a token."""
+    return max(SKETCH_BITS, 1 << max(0, n - 1).bit_length())
+
+
+def _sketches(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """The short and the fine sketch of a set."""
+    fine = sketch(tokens, fine_bits(len(tokens)))
+    return np.bitwise_xor.reduce(np.frombuffer(fine, "u8").reshape(-1, SKETCH_BITS // 64), axis=0).tobytes(), fine
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Places in which two sketches differ; the longer one is folded to the length of the other."""
+    s, t = sorted((np.frombuffer(x, "u8"), np.frombuffer(y, "u8")), key=len)
+    return int(np.bitwise_count(s ^ np.bitwise_xor.reduce(t.reshape(-1, len(s)), axis=0)).sum())
+
+
+def plausible_pairs(pairs: DataFrame, sized: DataFrame, column: str, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs`` that sizes and the sketches in ``column`` do not rule out; a linked pair always stays.
 
     Similarity s or more means that the sets differ in at most (|x| + |y|)(1 - s) / (1 + s) tokens.
     """
-    side = lambda c, n, k: sized.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(n), F.col("sketch").alias(k)).distinct()
+    side = lambda c, n, k: sized.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(n), F.col(column).alias(k)).distinct()
 
     def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), "u8").reshape(b.num_rows, -1) for c in ("x", "y"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1)
-            n, m = b["n"].to_numpy(), b["m"].to_numpy()
+            n, m = (b[c].to_numpy() for c in ("n", "m"))
+            apart = np.array([_apart(x, y) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)], "i8")
             keep = (apart * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(rule, "a long, b long").distinct()
 
 
+def _links(pairs: DataFrame, sized: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The linked ones of ``pairs``: short sketches first, fine ones for what they leave, whole sets at last."""
+    for column in ("sketch", "fine"):
+        pairs = write_table(plausible_pairs(pairs, sized, column), f"{name}-{column}")
+    return write_table(linked_pairs(pairs, docs), f"{name}-links")
+
+
 def linked_pairs(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (a, b) of ``pairs`` whose documents' sets have the similarity."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = write_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    if wanted.count() <= MAX_BROADCAST_IDS:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -340,16 +364,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (null: empty set), sketch of every row."""
+    """doc_id, n_shingles, key (null: empty set), sketch and fine sketch of every row."""
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             sets = token_sets(b["text"])
             keys = [int(np.uint64(_key(s)).view("i8")) if len(s) else None for s in sets]
-            columns = [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sketch"])
+            columns = [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), *(pa.array(k, pa.binary()) for k in zip(*map(_sketches, sets), strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sketch", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(size, "doc_id long, n_shingles long, key long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(size, "doc_id long, n_shingles long, key long, sketch binary, fine binary")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -363,7 +387,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = write_table(posting_lists(docs, frequent_tokens(docs, buckets, tokens), buckets), "lists")
     star = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b")).distinct()
     star = write_table(star, "star")
-    links = write_table(linked_pairs(write_table(plausible_pairs(star, sized), "plausible"), docs), "links")
+    links = _links(star, sized, docs, "star")
     comp = components(links)
     # lists whose members are not all in one component yet: their pairs across components
     member = lists.where(F.size("members") > 2).select("list_id", F.explode("members").alias("doc_id")).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
@@ -374,10 +398,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     right = left.select("list_id", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n_min").alias("m_min"), F.col("n_max").alias("m_max"))
     fits = f"doc_id < b AND comp <> comp_b AND 100 * n_max >= {PERCENT} * m_min AND 100 * m_max >= {PERCENT} * n_min"
     pairs = left.join(right, "list_id").where(fits).select(F.col("doc_id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    pairs = write_table(plausible_pairs(pairs, sized), "across")
-    if pairs.take(1):
-        links = links.unionByName(linked_pairs(pairs, docs))
-        comp = components(links)
+    more = _links(pairs, sized, docs, "across")
+    if more.take(1):
+        comp = components(links.unionByName(more))
     groups = sized.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     groups = groups.join(comp, "doc_id", "left").select("key", "n", F.coalesce("comp", "doc_id").alias("component_id"))
     found = skew_join(sized, groups, "key", "n", max(1, stats["rows"]), F.col("doc_id"))
