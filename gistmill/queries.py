@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import patterns as P
 from .functions import text as X
-from .operators import build, conversation, graph, lines, logs, scoring
+from .operators import build, conversation, graph, lines, logs, scoring, sharing
 from .plans.flow import Flow
 from .sources import tables as T
 from .streaming import events as S
@@ -354,3 +354,41 @@ def event_windows(spark, sf_dir):
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def user_sessions(spark, sf_dir):
     return S.sessions(T.table(spark, sf_dir, "events"))
+
+
+_SHARED = f"{_DOC_LINES}, t AS (SELECT doc_id, {_trim('line')} AS line FROM l), s AS (SELECT line, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS owner FROM t WHERE line <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)"
+
+
+@query(f"WITH {_SHARED} SELECT line, n_docs, owner FROM s")
+def shared_lines(spark, sf_dir):
+    return sharing.shared_lines(T.lines(_docs(spark, sf_dir)))
+
+
+@query(f"WITH {_SHARED} SELECT t.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.owner IS NULL OR s.owner = t.doc_id) AS n_left FROM t LEFT JOIN s ON s.line = t.line GROUP BY 1")
+def unshared_size(spark, sf_dir):
+    return sharing.unshared_size(T.lines(_docs(spark, sf_dir)))
+
+
+@query(f"""WITH {_PARSED}, r AS (SELECT level, row_number() OVER (PARTITION BY level ORDER BY event_id) AS rank, event_id, {_trim('message')} AS message FROM p)
+SELECT * FROM r WHERE rank <= CASE level WHEN 'error' THEN 40 WHEN 'warning' THEN 20 WHEN 'info' THEN 10 ELSE 0 END""")
+def balanced_levels(spark, sf_dir):
+    return sharing.balanced(_parsed(spark, sf_dir), "event_id", {"error": 40, "warning": 20, "info": 10})
+
+
+@query(f"WITH {_DOC_LINES} SELECT length(line) // 50 * 50 AS bucket, count(*) AS n, max(length(line)) AS longest FROM l GROUP BY 1")
+def length_buckets(spark, sf_dir):
+    return sharing.length_buckets(T.lines(_docs(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT *, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)
+SELECT lang, count(*) AS files, sum(n)::BIGINT AS lines, sum(coalesce(length(text), 0))::BIGINT AS chars, first(doc_id ORDER BY n DESC, doc_id) AS longest FROM d GROUP BY 1""")
+def corpus_overview(spark, sf_dir):
+    return sharing.overview(_docs(spark, sf_dir), "lang")
+
+
+@query(f"""WITH {_PARSED}, g AS (SELECT user_id, p.level FROM p JOIN events USING (event_id)),
+c AS (SELECT user_id, count(*) FILTER (WHERE level = 'error') AS error, count(*) FILTER (WHERE level = 'warning') AS warning, count(*) FILTER (WHERE level = 'info') AS info, count(*) FILTER (WHERE level = 'debug') AS debug FROM g GROUP BY 1)
+SELECT *, CASE greatest(error, warning, info, debug) WHEN error THEN 'error' WHEN warning THEN 'warning' WHEN info THEN 'info' ELSE 'debug' END AS dominant FROM c""")
+def dominant_levels(spark, sf_dir):
+    users = T.table(spark, sf_dir, "events").select("event_id", "user_id")
+    return sharing.dominant_level(_parsed(spark, sf_dir).join(users, "event_id"), "user_id")
