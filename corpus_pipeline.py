@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gistmill.llm import exact_dedup, jaccard_join, mixing, quality_classifier, sentencepiece_codec
 from gistmill.llm.common import documents, write_table
 
+#: Near copies share 80 % of their 5-word shingles; op10 keeps its own 4 words and 85 %.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -27,7 +30,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_dedup_stage(docs)
+    return jaccard_join.near_dedup_stage(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

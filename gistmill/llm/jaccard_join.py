@@ -1,6 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document's tokens are its distinct 4-word shingles (as 64-bit hashes). Tokens
+A document's tokens are its distinct shingles (as 64-bit hashes): of 4 words at 85 % in op10, of 5 words
+at 80 % in the pipeline. Tokens
 are ordered: rare ones first, frequent ones (in more than ``tau`` documents)
 last, by hash within both. Two documents with similarity s or more share at least k tokens of
 their first n - ceil(s n) + k. Frequent tokens fall in c classes by hash; with prefixes
@@ -24,8 +25,8 @@ two a token first rule out pairs that cannot be linked (a bound, never a guess);
 Rows move as packed arrays, one binary value per map batch and bucket, after equal entries
 of a batch are merged.
 
-Edge cases: null, empty and blank texts have an empty set and link with nothing; with fewer than
-four words the whole sequence is one token; repeated rows link; rows that share a doc_id
+Edge cases: null, empty and blank texts have an empty set and link with nothing; with fewer words
+than a shingle the whole sequence is one token; repeated rows link; rows that share a doc_id
 are one document that links if any of its texts does; an empty table gives an empty result; further
 columns are ignored.
 """
@@ -138,9 +139,9 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-def classes(power: int) -> int:
+def classes(power: int, percent: int = PERCENT) -> int:
     """Number of frequent classes for sizes from 2 ** power on; none for small sets, whose tokens all count as rare."""
-    return int(0.15 * (1 << power) / 6)
+    return int((100 - percent) / 100 * (1 << power) / 6)
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -158,10 +159,10 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     else:
         ordered, rare = tokens, n
     base = n - least + 1
-    longest = min(n, base + max(classes(p) for p in powers))
+    longest = min(n, base + max(classes(p, percent) for p in powers))
     out = [ordered[: min(longest, rare)]]
     for p in powers:
-        c = classes(p)
+        c = classes(p, percent)
         tail = ordered[rare : min(n, base + c)]
         if not c:
             out.append(tail)
@@ -184,20 +185,21 @@ def _key(tokens: np.ndarray) -> int:
 
 
 def _dealt(values: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    if not len(values):
+        return
     order = np.argsort(bucket, kind="stable")
     values, bucket = values[order], bucket[order]
     ids, starts = np.unique(bucket, return_index=True)
     ends = [*starts[1:].tolist(), len(values)]
     data = [values[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)]
-    if data:
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
 
 
 def _buckets(spark: SparkSession, n_bytes: int) -> int:
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
 
 
-def frequent_tokens(docs: DataFrame, buckets: int, n_words: int) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, buckets: int, n_words: int, shingle: int = SHINGLE) -> np.ndarray:
     """Tokens in more than tau documents, of those with a low hash; sorted."""
     limit = np.uint64(int(COUNTED * 2**64))
     tau = max(MIN_TAU, math.ceil(n_words * COUNTED / MAX_FREQUENT))
@@ -205,7 +207,7 @@ def frequent_tokens(docs: DataFrame, buckets: int, n_words: int) -> np.ndarray:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            low = [s[: np.searchsorted(s, limit)] for s in token_sets(b["text"])]
+            low = [s[: np.searchsorted(s, limit)] for s in token_sets(b["text"], shingle)]
             t, n = np.unique(np.concatenate(low) if low else np.zeros(0, "u8"), return_counts=True)
             bucket = (t % np.uint64(buckets)).astype("i4")
             yield from _dealt(t[n == 1], bucket[n == 1], one)
@@ -226,15 +228,15 @@ def frequent_tokens(docs: DataFrame, buckets: int, n_words: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found.toLocalIterator()], "i8").view("u8"))  # MAX_FREQUENT at most
 
 
-def posting_lists(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def posting_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(members, keys): distinct posting lists of two nodes or more, doc_ids ascending."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             rows = []
-            for doc, tokens in zip(b["doc_id"].to_pylist(), token_sets(b["text"]), strict=True):
-                sig = signatures(tokens, shared.value)
+            for doc, tokens in zip(b["doc_id"].to_pylist(), token_sets(b["text"], shingle), strict=True):
+                sig = signatures(tokens, shared.value, percent)
                 x = np.zeros(len(sig), _POSTING)
                 x["sig"], x["key"], x["doc"] = sig, _key(tokens), doc
                 rows.append(x)
@@ -307,14 +309,14 @@ def plausible_pairs(pairs: DataFrame, sized: DataFrame, column: str, percent: in
     return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(rule, "a long, b long").distinct()
 
 
-def _links(pairs: DataFrame, sized: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _links(pairs: DataFrame, sized: DataFrame, docs: DataFrame, name: str, shingle: int, percent: int) -> DataFrame:
     """The linked ones of ``pairs``: short sketches first, fine ones for what they leave, whole sets at last."""
     for column in ("sketch", "fine"):
-        pairs = write_table(plausible_pairs(pairs, sized, column), f"{name}-{column}")
-    return write_table(linked_pairs(pairs, docs), f"{name}-links")
+        pairs = write_table(plausible_pairs(pairs, sized, column, percent), f"{name}-{column}")
+    return write_table(linked_pairs(pairs, docs, shingle, percent), f"{name}-links")
 
 
-def linked_pairs(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked_pairs(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The (a, b) of ``pairs`` whose documents' sets have the similarity."""
     wanted = write_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     if wanted.count() <= MAX_BROADCAST_IDS:  # else the texts are shuffled
@@ -322,7 +324,7 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([s.tobytes() for s in token_sets(b["text"])], pa.binary())], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([s.tobytes() for s in token_sets(b["text"], shingle)], pa.binary())], names=["doc_id", "tokens"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,12 +365,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, key (null: empty set), sketch and fine sketch of every row."""
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = token_sets(b["text"])
+            sets = token_sets(b["text"], shingle)
             keys = [int(np.uint64(_key(s)).view("i8")) if len(s) else None for s in sets]
             columns = [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), *(pa.array(k, pa.binary()) for k in zip(*map(_sketches, sets), strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sketch", "fine"])
@@ -376,18 +378,18 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(size, "doc_id long, n_shingles long, key long, sketch binary, fine binary")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id; sets of ``shingle`` words link from ``percent`` on."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = write_table(_sized(docs), "sized")
+    sized = write_table(_sized(docs, shingle), "sized")
     stats = sized.agg(F.sum("n_shingles").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
     tokens = stats["tokens"] or 0
     buckets = _buckets(spark, 7 * tokens)
-    lists = write_table(posting_lists(docs, frequent_tokens(docs, buckets, tokens), buckets), "lists")
+    lists = write_table(posting_lists(docs, frequent_tokens(docs, buckets, tokens, shingle), buckets, shingle, percent), "lists")
     star = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b")).distinct()
     star = write_table(star, "star")
-    links = _links(star, sized, docs, "star")
+    links = _links(star, sized, docs, "star", shingle, percent)
     comp = components(links)
     # lists whose members are not all in one component yet: their pairs across components
     member = lists.where(F.size("members") > 2).select("list_id", F.explode("members").alias("doc_id")).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
@@ -396,9 +398,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sizes = sized.groupBy("doc_id").agg(F.min("n_shingles").alias("n_min"), F.max("n_shingles").alias("n_max"))
     left = member.join(open_lists, "list_id", "left_semi").join(sizes, "doc_id")
     right = left.select("list_id", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n_min").alias("m_min"), F.col("n_max").alias("m_max"))
-    fits = f"doc_id < b AND comp <> comp_b AND 100 * n_max >= {PERCENT} * m_min AND 100 * m_max >= {PERCENT} * n_min"
+    fits = f"doc_id < b AND comp <> comp_b AND 100 * n_max >= {percent} * m_min AND 100 * m_max >= {percent} * n_min"
     pairs = left.join(right, "list_id").where(fits).select(F.col("doc_id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _links(pairs, sized, docs, "across")
+    more = _links(pairs, sized, docs, "across", shingle, percent)
     if more.take(1):
         comp = components(links.unionByName(more))
     groups = sized.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
@@ -407,9 +409,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_dedup_stage(docs: DataFrame) -> DataFrame:
+def near_dedup_stage(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component (the least doc_id; of equal ids one row), with the columns of ``docs``."""
-    kept = jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = jaccard_components(docs, shingle=shingle, percent=percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.expr("doc_id <=> _kept"), "left_semi").select(*docs.columns)
 
 

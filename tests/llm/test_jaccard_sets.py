@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from gistmill.llm import jaccard_join as J
 
 
@@ -36,3 +37,33 @@ def test_sketches_never_exceed_the_difference():
         for a, b in zip(J._sketches(x), J._sketches(y), strict=True):
             assert J._apart(a, b) <= differ
         assert J._sketches(x)[0] == J.sketch(x)
+
+
+def test_stage_takes_five_words_at_80_percent(spark):
+    draw, n = random.Random(5), 1200
+    base = [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    longer, unlike = base + [f"y{i}" for i in range(240)], base[: n // 2] + [f"z{i}" for i in range(n // 2)]
+    near = list(base)
+    for i in range(20, n, 46):  # 26 single words: 4-word similarity under 0.85, 5-word at 0.80 or more
+        near[i] = f"v{i}"
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, longer, near, unlike])]
+
+    def similarity(a, b, k):
+        x, y = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert 0.80 <= similarity(base, longer, 5) < 0.85 and 0.80 <= similarity(base, near, 5) and similarity(base, near, 4) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 3]
+    assert {r["component_id"] for r in J.jaccard_components(docs).where("doc_id IN (1, 2)").collect()} == {1, 2}  # op10's own values
+
+
+def test_signatures_lose_no_link_at_80_percent():
+    draw = np.random.default_rng(8)
+    for n in (1, 4, 63, 64, 300, 1500):
+        for _ in range(40):
+            a = np.unique(draw.integers(0, 2**63, n).astype("u8") * np.uint64(2))
+            cut = draw.integers(0, len(a) - J.need(len(a), 80) + 1)
+            b = np.sort(draw.permutation(a)[: len(a) - cut])
+            frequent = np.sort(draw.permutation(a)[: int(draw.integers(0, len(a) + 1))])
+            assert len(np.intersect1d(J.signatures(a, frequent, 80), J.signatures(b, frequent, 80)))
