@@ -7,8 +7,8 @@ gradient descent in numpy. Scores are then linear in the average, so a word's sh
 the score is one number, computed once for each distinct word of a piece of a batch.
 
 Training uses at most ``MAX_TRAIN`` labelled rows (documented bound), those with the least hash
-of doc_id, as hashed feature counts made on the executors from whole texts, at most ``MAX_FEATURES``
-distinct features each (the first in feature order; that bounds what reaches the driver).
+of doc_id, as hashed feature counts made on the executors from whole texts, with all features of each
+(``BUCKETS`` at most). The driver keeps them in a temporary file and reads them row by row.
 Scoring reads every document and every word.
 
 Edge cases: null, empty and blank texts have no features and score the bias alone; without
@@ -18,8 +18,10 @@ repeated rows score alike; null labels are not learned from; further columns are
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +38,6 @@ DIM = 8
 EPOCHS = 6
 RATE = 0.5
 MAX_TRAIN = 6000
-MAX_FEATURES = 4000
 THRESHOLD = 0.3
 _ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -109,13 +110,39 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 counts += np.bincount(_pairs(hashes[index]), minlength=BUCKETS)
             ids = np.flatnonzero(counts)
             n = counts[ids]
-            row = [int(b["doc_id"][i].as_py()), int(b["label"][i].as_py()), ids[:MAX_FEATURES].astype("<i4").tobytes(), (n[:MAX_FEATURES] / max(1, n.sum())).astype("<f4").tobytes()]
+            row = [int(b["doc_id"][i].as_py()), int(b["label"][i].as_py()), ids.astype("<i4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["doc_id", "label", "ids", "share"])
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Model:
+class FeatureFile(Sequence):
+    """Rows of label, buckets and shares in a temporary file of the driver; what stays in memory is a few numbers a row."""
+
+    def __init__(self, rows: Iterable[tuple[int, int, bytes, bytes]]) -> None:
+        self._file, places, at = tempfile.TemporaryFile(), [], 0
+        for doc_id, label, ids, share in rows:
+            self._file.write(ids + share)
+            places.append((doc_id, label, hashlib.sha256(ids + share).digest(), at, len(ids)))
+            at += 2 * len(ids)
+        self._places = sorted(places)
+        self.longest = max((p[4] // 4 for p in places), default=0)
+        self.labels = [p[1] for p in self._places]
+
+    def __len__(self) -> int:
+        return len(self._places)
+
+    def __getitem__(self, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+        _, label, _, at, size = self._places[k]
+        self._file.seek(at)
+        data = self._file.read(2 * size)
+        return label, np.frombuffer(data[:size], "<i4"), np.frombuffer(data[size:], "<f4")
+
+    def close(self) -> None:
+        self._file.close()
+
+
+def train(rows: FeatureFile, *, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Model:
     """Embeddings and softmax by stochastic gradient descent; rows: label, buckets, shares."""
-    ones = sum(label for label, _, _ in rows)
+    ones = sum(rows.labels)
     if not ones or ones == len(rows):
         share = (ones + 1e-9) / len(rows) if rows else 0.5
         return Model(np.zeros(BUCKETS, "f4"), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
@@ -123,7 +150,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], *, dim: int = DIM, epo
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype("f4")
     out = rng.uniform(-0.5, 0.5, (2, dim)).astype("f4")
     whole = emb.view(f"V{4 * dim}")[:, 0]  # a row as one item, which is quicker to put back
-    held, spare = (np.empty((max(len(ids) for _, ids, _ in rows), dim), "f4") for _ in range(2))
+    held, spare = (np.empty((rows.longest, dim), "f4") for _ in range(2))
     bias = np.zeros(2, "f4")
     balance = (len(rows) / (2 * (len(rows) - ones)), len(rows) / (2 * ones))
     steps, total = 0, epochs * len(rows)
@@ -158,8 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
     chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_train rows at most
     seen = texts.select(F.col("doc_id").cast("long"), F.col("label").cast("long"), "text").mapInArrow(_count_features, "doc_id long, label long, ids binary, share binary")
-    rows = sorted((r["doc_id"], r["label"], bytes(r["ids"]), bytes(r["share"])) for r in write_table(seen, "features").toLocalIterator())
-    return train([(label, np.frombuffer(i, "<i4"), np.frombuffer(s, "<f4")) for _, label, i, s in rows])
+    found = write_table(seen, "features").toLocalIterator()
+    rows = FeatureFile((r["doc_id"], r["label"], bytes(r["ids"]), bytes(r["share"])) for r in found)
+    try:
+        return train(rows)
+    finally:
+        rows.close()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -256,3 +256,21 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r["round_trip"] for r in rows)
+
+
+def test_classifier_learns_from_all_features(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    text = _words(6, 9000)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text])], names=["doc_id", "label", "text"])
+    row = next(quality_classifier._count_features(iter([batch]))).to_pylist()[0]
+    ids, share = np.frombuffer(row["ids"], "<i4"), np.frombuffer(row["share"], "<f4")
+    _, index, words = quality_classifier.split_words(pa.array([text]))
+    own, _, hashes = quality_classifier.word_features(words)
+    assert len(ids) > 4000 and set(ids.tolist()) == {*own.tolist(), *quality_classifier._pairs(hashes[index]).tolist()}
+    assert abs(share.sum() - 1) < 1e-3
+    rows = quality_classifier.FeatureFile([(2, 0, row["ids"][:8], row["share"][:8]), (1, 1, row["ids"], row["share"])])
+    assert (len(rows), rows.longest, rows.labels) == (2, len(ids), [1, 0])
+    assert rows[0][0] == 1 and (rows[0][1] == ids).all() and (rows[0][2] == share).all() and (rows[1][1] == ids[:2]).all()
+    rows.close()
