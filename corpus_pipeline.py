@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model(), with_ids=False)
+    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model(), with_text=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -203,14 +203,14 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-def encode_documents(docs: DataFrame, model: str, *, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, n_byte_tokens, ids_crc32, decoded_sha256 (of the text that the ids decode to), round_trip, and ids."""
+def encode_documents(docs: DataFrame, model: str, *, with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_byte_tokens, ids_crc32, decoded_sha256 (of the text that the ids decode to), round_trip, ids, and decoded (that text)."""
     import hashlib
 
     codec = docs.sparkSession.sparkContext.broadcast(Codec(Pieces.load(model)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    names = ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
+    names = ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "decoded_sha256", "round_trip"] + ["ids"] * with_ids + ["decoded"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec.value
@@ -234,9 +234,11 @@ def encode_documents(docs: DataFrame, model: str, *, with_ids: bool = True) -> D
                 if with_ids:
                     offsets = np.cumsum([0, *map(len, ids)], dtype="i4")
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4"))))
+                if with_text:
+                    columns.append(pa.array(back, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(run, fields + ", ids array<int>" * with_ids + ", decoded string" * with_text)
 
 
 def default_model() -> str:
@@ -248,4 +250,4 @@ def default_model() -> str:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
-    return encode_documents(documents(spark, sf_dir), default_model(), with_ids=False)
+    return encode_documents(documents(spark, sf_dir), default_model(), with_text=True)

@@ -258,6 +258,16 @@ def test_pipeline(spark):
     assert rows and all(r["round_trip"] for r in rows)
 
 
+def test_encoding_is_returned(spark):
+    import corpus_pipeline
+
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load(sentencepiece_codec.default_model()))
+    for found in (corpus_pipeline.encode(spark, _docs(spark), SF), sentencepiece_codec.op2_sentencepiece(spark, SF).limit(20)):
+        for r in found.collect():
+            assert codec.decode(r["ids"]) == r["decoded"] and len(r["ids"]) == r["n_tokens"] and r["round_trip"]
+    assert [r["decoded"] for r in corpus_pipeline.encode(spark, _docs(spark), SF).orderBy("doc_id").collect()] == [t or "" for t in TEXTS]
+
+
 def test_classifier_learns_from_all_features(spark):
     import numpy as np
     import pyarrow as pa
