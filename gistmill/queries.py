@@ -345,6 +345,23 @@ def dead_exports(spark, sf_dir):
     return graph.unused(d, u)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, (p_partkey * 7 + p_size) % (SELECT max(p_partkey) FROM part) + 1 AS dst FROM part), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 5)
+SELECT src, dst, min(depth) AS depth, src = dst AS cycle FROM r GROUP BY 1, 2""")
+def recursive_deps_whole(spark, sf_dir):
+    part = T.table(spark, sf_dir, "part")
+    last = part.agg(F.max("p_partkey").alias("last"))
+    e = part.crossJoin(F.broadcast(last)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("last") + 1).alias("dst"))  # one row
+    return graph.closure(e, 5).withColumn("cycle", F.col("src") == F.col("dst"))
+
+
+@query("""WITH d AS (SELECT DISTINCT p_partkey % 50 AS file, p_partkey * 64 + p_size AS name FROM part), u AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey * 64 + l_quantity::BIGINT AS name FROM lineitem)
+SELECT file, name FROM d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.name = d.name AND u.file <> d.file)""")
+def dead_exports_whole(spark, sf_dir):
+    d = T.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("file"), (F.col("p_partkey") * 64 + F.col("p_size")).alias("name")).distinct()
+    u = T.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("file"), (F.col("l_partkey") * 64 + F.col("l_quantity").cast("long")).alias("name")).distinct()
+    return graph.unused(d, u)
+
+
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return S.error_counts(T.table(spark, sf_dir, "events"))
