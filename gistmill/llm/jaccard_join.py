@@ -1,40 +1,38 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's tokens are its distinct shingles (as 64-bit hashes): of 4 words at 85 % in op10, of 5 words
-at 80 % in the pipeline. Tokens
-are ordered: rare ones first, frequent ones (in more than ``tau`` documents)
-last, by hash within both. Two documents with similarity s or more share at least k tokens of
-their first n - ceil(s n) + k. Frequent tokens fall in c classes by hash; with prefixes
-extended to k = c + 1 a linked pair shares a rare token or two frequent tokens of a
-class. So rare tokens are indexed singly and frequent ones as pairs within their class;
-c grows with the documents' size, so the pairs grow in proportion to the prefix.
-c belongs to the pair: it comes from the smaller size's power of two, and a document
-whose partners may lie in the power below is indexed for both.
-
-Which tokens are frequent decides work, never results. Counts cover all documents: every token
-whose hash lies in the lowest ``COUNTED`` share of the hash range, which holds the prefixes.
-``tau`` is at least ``MIN_TAU`` and rises so that at most ``MAX_FREQUENT`` tokens are
-frequent: that list (8 bytes each) is what is broadcast.
-
-Documents with equal token sets are one node, represented by their least doc_id. In a posting list
-the node with the least doc_id is checked with all others (a star); links make components; lists that
-still hold several components then give their pairs across components, so no link is
-lost and a group of copies never emits all its pairs. Sizes, 128-byte parity sketches and then fine ones of a bit or
-two a token first rule out pairs that cannot be linked (a bound, never a guess); checks compare whole sets.
-
-Rows move as packed arrays, one binary value per map batch and bucket, after equal entries
-of a batch are merged.
+at 80 % in the pipeline. Documents with equal token sets (128-bit digest) are one node, represented by their least doc_id.
+
+*Rare tokens, singly.* Tokens in at most ``TAU`` documents are rare. They are counted over all documents, for the
+lowest ``COUNTED`` share of hashes, into two bitmaps of at most 2 ** ``MAX_BITS`` bits (what is broadcast): seen
+twice, and seen more than ``TAU`` times; a clash of two tokens in a bitmap makes one look more frequent and costs work,
+never a link. In the order rare first, by hash within, two linked sets share a token of their first n - ceil(s n) + 1.
+A set with so many rare tokens indexes them singly, and those seen once are not sent at all. A list has ``TAU`` members at most.
+
+*Frequent tokens, in combinations.* Sets with fewer rare tokens (near copies of many others, texts made of shared passages) meet
+once more among themselves, where all their tokens are counted exactly, by a shuffle. Sets that are still short of
+rare ones index their frequent tokens in combinations: two linked sets x and y that share no rare token differ in at most
+b = (1 - s) / (1 + s) (|x| + |y|) - rare(x) - rare(y) frequent ones. Tokens fall in classes by hash, a quarter more than b + 1;
+all tokens of a class are one combination. The pair agrees in more than a quarter of the classes, so
+in one of the first b + 1 of each (those with the most tokens first; classes that agree have equal places in that
+order). The number of classes belongs to the pair: it comes from its larger size, in steps of 1 / s, and from
+b, in powers of two, and a set indexes itself for each that its partners may have.
+
+*Lists.* In each list of a combination the member with the fewest rare tokens, the most central one, is checked with all
+others; links make components. Lists that then hold several components give their pairs across components that sizes, b and
+the 128-byte parity sketches leave possible (bounds, never guesses). Checks compare whole sets. No link is lost.
+What stays quadratic is only the test of b and sketches, without output, within a combination's list whose members are in many components.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; with fewer words
 than a shingle the whole sequence is one token; repeated rows link; rows that share a doc_id
-are one document that links if any of its texts does; an empty table gives an empty result; further
-columns are ignored.
+are one document that links if any of its texts does; a row with a null doc_id has the component of an equal set, else null;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, pieces, skew_join, write_table
+from .common import SPACES, drop_tables, pieces, skew_join, write_table
 
 SHINGLE = 4
 PERCENT = 85
 COUNTED = 0.3
-MIN_TAU, MAX_FREQUENT = 32, 500_000
+TAU = 4
+MIN_BITS, MAX_BITS = 16, 27
 BUCKET_BYTES = 16 << 20
 SKETCH_BITS = 1024
 HASH_BYTES = 1 << 20
 MAX_BROADCAST_IDS = 1_000_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_POSTING = np.dtype([("sig", "<u8"), ("key", "<u8"), ("doc", "<i8")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,49 +137,51 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-def classes(power: int, percent: int = PERCENT) -> int:
-    """Number of frequent classes for sizes from 2 ** power on; none for small sets, whose tokens all count as rare."""
-    return int((100 - percent) / 100 * (1 << power) / 6)
-
-
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Index keys of a set: rare tokens of the prefix, and pairs of frequent ones within a class."""
-    n = len(tokens)
-    if not n:
-        return tokens
-    least = need(n, percent)
-    powers = sorted({n.bit_length() - 1, least.bit_length() - 1})
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        common = frequent[at] == tokens
-        ordered = np.concatenate([tokens[~common], tokens[common]])
-        rare = n - int(common.sum())
-    else:
-        ordered, rare = tokens, n
-    base = n - least + 1
-    longest = min(n, base + max(classes(p, percent) for p in powers))
-    out = [ordered[: min(longest, rare)]]
-    for p in powers:
-        c = classes(p, percent)
-        tail = ordered[rare : min(n, base + c)]
-        if not c:
-            out.append(tail)
-            continue
-        if len(tail) < 2:
-            continue
-        group = (tail >> np.uint64(20)) % np.uint64(c)
-        order = np.argsort(group, kind="stable")
-        tail, group = tail[order], group[order]
-        for step in range(1, len(tail)):
-            same = group[step:] == group[:-step]
-            if not same.any():
-                break
-            out.append(_mix(tail[:-step][same] * _M[1] + tail[step:][same] * _M[2] + np.uint64(p)))
-    return np.unique(np.concatenate(out))
+def differ(total: int, percent: int = PERCENT) -> int:
+    """In how many tokens two linked sets may differ whose sizes add up to ``total``."""
+    return (100 - percent) * total // (100 + percent)
+
+
+@cache
+def sizes(percent: int) -> list[int]:
+    """Least size of each step; linked sets are in one step or in adjoining ones."""
+    if not 50 <= percent < 100:
+        raise ValueError("percent must be 50 to 99")
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
+    return out
 
 
-def _key(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes())
+def combinations(frequent: np.ndarray, n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(key, budget) of the combinations that a set of n tokens with these frequent ones indexes.
+
+    A pair with b differing frequent tokens at most meets under the budget that is the least one not below b.
+    """
+    rare, steps, out = n - len(frequent), sizes(percent), []
+    own = int(np.searchsorted(steps, n, "right")) - 1
+    hashes = _mix(frequent)
+    for step in (own, own + 1):
+        if 100 * n // percent < steps[step]:
+            continue  # no partner is so large
+        largest = steps[step + 1] - 1
+        most = differ(n + min(largest, 100 * n // percent), percent) - rare
+        budget = differ(2 * largest, percent)
+        while most >= 0:
+            if most > budget // 2 or not budget:
+                spare = -(-(budget + 1) // 4) if budget else 0
+                classes = budget + 1 + spare
+                group = ((_mix(frequent ^ np.uint64(budget + 1)) >> np.uint64(11)) % np.uint64(classes)).astype("i8")
+                size, content = np.bincount(group, minlength=classes), np.zeros(classes, "u8")
+                np.add.at(content, group, hashes)
+                first = np.lexsort((np.arange(classes), -size))[: min(budget, most) + 1]
+                own_salt = np.uint64((step * int(_M[1]) + budget * int(_M[3])) % 2**64)
+                keys = _mix(content[first] + first.astype("u8") * _M[2] + own_salt)
+                out.extend((k, budget) for k in keys.view("i8").tolist())
+            if not budget:
+                break
+            budget //= 2
+    return out
 
 
 def _dealt(values: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
@@ -195,24 +195,33 @@ def _dealt(values: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
 
 
-def _buckets(spark: SparkSession, n_bytes: int) -> int:
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+def _low(tokens: np.ndarray) -> np.ndarray:
+    """Those of the counted range."""
+    return tokens[: np.searchsorted(tokens, np.uint64(int(COUNTED * 2**64)))]
 
 
-def frequent_tokens(docs: DataFrame, buckets: int, n_words: int, shingle: int = SHINGLE) -> np.ndarray:
-    """Tokens in more than tau documents, of those with a low hash; sorted."""
-    limit = np.uint64(int(COUNTED * 2**64))
-    tau = max(MIN_TAU, math.ceil(n_words * COUNTED / MAX_FREQUENT))
+def _place(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each token in a bitmap of 2 ** bits."""
+    return (_mix(tokens + _M[1]) >> np.uint64(64 - bits)).astype("i8")
+
+
+def _marked(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 3] >> (place & 7).astype("u1")) & 1 == 1
+
+
+def bitmaps(docs: DataFrame, n_bytes: int, shingle: int = SHINGLE, tau: int = TAU) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, seen twice, seen more than ``tau`` times) over the counted tokens of all documents."""
+    bits = min(MAX_BITS, max(MIN_BITS, int(n_bytes).bit_length()))  # about 16 places a counted token, up to MAX_BITS
+    share = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    width = max(6, bits - (share - 1).bit_length())  # places of a bucket, as a power of two
     one, many = 0, 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            low = [s[: np.searchsorted(s, limit)] for s in token_sets(b["text"], shingle)]
-            t, n = np.unique(np.concatenate(low) if low else np.zeros(0, "u8"), return_counts=True)
-            bucket = (t % np.uint64(buckets)).astype("i4")
+            t, n = np.unique(np.concatenate([_low(s) for s in token_sets(b["text"], shingle)]), return_counts=True)
+            bucket = (_place(t, bits) >> width).astype("i4")
             yield from _dealt(t[n == 1], bucket[n == 1], one)
-            pairs = np.stack([t[n > 1], n[n > 1].astype("u8")], axis=1)
-            yield from _dealt(pairs, bucket[n > 1], many)
+            yield from _dealt(np.stack([t[n > 1], n[n > 1].astype("u8")], axis=1), bucket[n > 1], many)
 
     def count(table: pa.Table) -> pa.Table:
         tokens, times = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
@@ -221,99 +230,162 @@ def frequent_tokens(docs: DataFrame, buckets: int, n_words: int, shingle: int =
             tokens.append(x if kind == one else x[::2])
             times.append(np.ones(len(x), "i8") if kind == one else x[1::2].astype("i8"))
         t, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        n = np.bincount(at, np.concatenate(times), len(t))
-        return pa.table({"token": t[n > tau].astype("i8", casting="unsafe")}, schema=pa.schema([("token", pa.int64())]))
+        n, place = np.bincount(at, np.concatenate(times), len(t)), _place(t, bits)
 
-    found = docs.select("text").mapInArrow(deal, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(count, "token long")
-    return np.sort(np.array([r[0] for r in found.toLocalIterator()], "i8").view("u8"))  # MAX_FREQUENT at most
+        def bitmap(chosen: np.ndarray) -> bytes:
+            out = np.zeros(1 << width, "u1")
+            out[place[chosen] & ((1 << width) - 1)] = 1
+            return np.packbits(out, bitorder="little").tobytes()
 
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "twice": [bitmap(n > 1)], "often": [bitmap(n > tau)]})
 
-def posting_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(members, keys): distinct posting lists of two nodes or more, doc_ids ascending."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    twice, often = (np.zeros(1 << (bits - 3), "u1") for _ in range(2))
+    found = docs.select("text").mapInArrow(deal, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(count, "bucket int, twice binary, often binary")
+    for r in found.toLocalIterator():  # both bitmaps, whatever the input
+        for whole, part in ((twice, r["twice"]), (often, r["often"])):
+            whole[r["bucket"] << (width - 3) : (r["bucket"] + 1) << (width - 3)] = np.frombuffer(part, "u1")
+    return bits, twice, often
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            rows = []
-            for doc, tokens in zip(b["doc_id"].to_pylist(), token_sets(b["text"], shingle), strict=True):
-                sig = signatures(tokens, shared.value, percent)
-                x = np.zeros(len(sig), _POSTING)
-                x["sig"], x["key"], x["doc"] = sig, _key(tokens), doc
-                rows.append(x)
-            x = np.concatenate(rows)
-            x = x[np.lexsort((x["doc"], x["key"], x["sig"]))]
-            first = np.ones(len(x), bool)
-            first[1:] = (x["sig"][1:] != x["sig"][:-1]) | (x["key"][1:] != x["key"][:-1])
-            x = x[first]
-            yield from _dealt(x, (x["sig"] % np.uint64(buckets)).astype("i4"), 0)
-
-    def lists(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table["data"].to_pylist()), _POSTING)
-        x = x[np.lexsort((x["doc"], x["key"], x["sig"]))]
-        first = np.ones(len(x), bool)
-        first[1:] = (x["sig"][1:] != x["sig"][:-1]) | (x["key"][1:] != x["key"][:-1])
-        x = x[first]  # the least doc_id of each set
-        x = x[np.lexsort((x["doc"], x["sig"]))]
-        starts = np.flatnonzero(np.concatenate([[True], x["sig"][1:] != x["sig"][:-1]])) if len(x) else np.zeros(0, "i8")
-        ends = np.append(starts[1:], len(x))
-        seen: dict[int, list[int]] = {}
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            members = np.unique(x["doc"][a:b])
-            if len(members) > 1:
-                seen.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()), members)
-        ids = np.array(list(seen), "u8").view("i8")
-        return pa.table({"list_id": pa.array(ids, pa.int64()), "members": pa.array(list(seen.values()), pa.list_(pa.int64()))})
-
-    dealt = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(deal, "bucket int, kind int, data binary")
-    found = dealt.groupBy("bucket").applyInArrow(lists, "list_id long, members array<long>")
-    return found.dropDuplicates(["list_id"])
-
-
-def sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
-    """Parities of the token counts in ``bits`` buckets: two sketches differ in no more places than their sets differ in tokens."""
-    n = np.bincount((tokens >> np.uint64(8)) % np.uint64(bits), minlength=bits)
-    return np.packbits((n & 1).astype("u1")).tobytes()
-
-
-def fine_bits(n: int) -> int:
-    """Bits of the fine sketch of a set of n tokens: a power of two, one or two bits a token."""
-    return max(SKETCH_BITS, 1 << max(0, n - 1).bit_length())
-
-
-def _sketches(tokens: np.ndarray) -> tuple[bytes, bytes]:
-    """The short and the fine sketch of a set."""
-    fine = sketch(tokens, fine_bits(len(tokens)))
-    return np.bitwise_xor.reduce(np.frombuffer(fine, "u8").reshape(-1, SKETCH_BITS // 64), axis=0).tobytes(), fine
-
-
-def _apart(x: bytes, y: bytes) -> int:
-    """Places in which two sketches differ; the longer one is folded to the length of the other."""
-    s, t = sorted((np.frombuffer(x, "u8"), np.frombuffer(y, "u8")), key=len)
-    return int(np.bitwise_count(s ^ np.bitwise_xor.reduce(t.reshape(-1, len(s)), axis=0)).sum())
-
-
-def plausible_pairs(pairs: DataFrame, sized: DataFrame, column: str, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs`` that sizes and the sketches in ``column`` do not rule out; a linked pair always stays.
-
-    Similarity s or more means that the sets differ in at most (|x| + |y|)(1 - s) / (1 + s) tokens.
-    """
-    side = lambda c, n, k: sized.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(n), F.col(column).alias(k)).distinct()
 
-    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the token counts in SKETCH_BITS buckets, as longs: two sketches differ in no more places than their sets differ in tokens."""
+    n = np.bincount((tokens >> np.uint64(8)) % np.uint64(SKETCH_BITS), minlength=SKETCH_BITS)
+    return np.packbits((n & 1).astype("u1")).view("<i8")
+
+
+_INDEX = "doc_id long, n_shingles long, key binary, sketch array<long>, singles array<long>, tokens binary"
+
+
+def index(docs: DataFrame, found: tuple[int, np.ndarray, np.ndarray], shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: size, digest (null: empty set) and sketch of its set, its rare tokens to index, and the whole set if those are too few."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, twice, often = shared.value
+        for b in pieces(batches):
+            sets = token_sets(b["text"], shingle)
+            low = [_low(s) for s in sets]
+            flat, length = np.concatenate(low), np.array([len(x) for x in low], "i8")
+            n = np.array([len(s) for s in sets], "i8")
+            wanted = n + (-n * percent // 100) + 1  # the prefix
+            place, row = _place(flat, bits), np.repeat(np.arange(len(sets)), length)
+            rare = ~_marked(often, place)
+            rank = np.cumsum(rare)
+            before = np.concatenate([[0], rank])[np.cumsum(length) - length]
+            few = np.bincount(row, rare, len(sets)) < wanted
+            chosen = rare & (rank - before[row] <= wanted[row]) & _marked(twice, place)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, chosen, len(sets)))]).astype("i4")
+            columns = [
+                b["doc_id"], pa.array(n), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[chosen].view("i8"))),
+                pa.array([s.tobytes() if len(s) and short else None for s, short in zip(sets, few.tolist(), strict=True)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _INDEX.split(", ")])
+
+    return docs.mapInArrow(run, _INDEX)
+
+
+def _list_pairs(postings: DataFrame) -> DataFrame:
+    """(a, b) of all members of the lists of (sig, node), which have TAU members at most."""
+    members = postings.groupBy("sig").agg(F.sort_array(F.collect_set("node")).alias("m")).where(F.size("m") > 1)
+    pair = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> named_struct('a', x, 'b', y))))")
+    return members.select(F.explode(pair).alias("p")).select("p.a", "p.b")
+
+
+def shared_tokens(short: DataFrame, total: int) -> DataFrame:
+    """(key, node, n, place, token, count) of the tokens that several of the sets (key, node, tokens) have, ``place`` in the sorted set."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, m = (b[c].to_numpy() for c in ("n", "m"))
-            apart = np.array([_apart(x, y) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)], "i8")
-            keep = (apart * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep))
+            for i in range(b.num_rows):
+                tokens = np.frombuffer(b["tokens"][i].as_buffer(), "<i8")
+                n = len(tokens)
+                same = [pa.repeat(b[c][i], n) for c in ("key", "node")]
+                yield pa.RecordBatch.from_arrays([*same, pa.repeat(pa.scalar(n, pa.int64()), n), pa.array(np.arange(n)), pa.array(tokens)], names=["key", "node", "n", "place", "token"])
+
+    tokens = short.select("key", "node", "tokens").mapInArrow(spread, "key binary, node long, n long, place long, token long")
+    counts = write_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "shared-tokens")
+    return skew_join(tokens, counts, "token", "count", max(1, total), F.col("key"), "inner")
+
 
-    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").mapInArrow(rule, "a long, b long").distinct()
+def combination_postings(shared: DataFrame, percent: int = PERCENT, tau: int = TAU) -> DataFrame:
+    """(sig, node, n, rare, budget) of the sets whose shared tokens are given; a budget of -1 stands for a rare token."""
+    fields = "sig long, node long, n long, rare long, budget long"
 
+    def entries(rows: dict[str, np.ndarray]) -> list[tuple]:
+        n, node, frequent = int(rows["n"][0]), int(rows["node"][0]), rows["count"] > tau
+        rank = rows["place"] - (np.cumsum(frequent) - frequent)  # rare tokens before each token
+        prefix, rare = n - need(n, percent) + 1, n - int(frequent.sum())
+        out = [(t, node, n, rare, -1) for t in rows["token"][~frequent & (rank < prefix)].tolist()]
+        if rare < prefix:
+            out += [(k, node, n, rare, b) for k, b in combinations(rows["token"][frequent].view("u8"), n, percent)]
+        return out
 
-def _links(pairs: DataFrame, sized: DataFrame, docs: DataFrame, name: str, shingle: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs``: short sketches first, fine ones for what they leave, whole sets at last."""
-    for column in ("sketch", "fine"):
-        pairs = write_table(plausible_pairs(pairs, sized, column, percent), f"{name}-{column}")
-    return write_table(linked_pairs(pairs, docs, shingle, percent), f"{name}-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("n", "node", "place", "token", "count")
+        key, held = None, []
+
+        def closed() -> list[tuple]:
+            return entries({c: np.concatenate([x[c] for x in held]) for c in names}) if held else []
+
+        for b in batches:
+            keys = b["key"].dictionary_encode()
+            at = keys.indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+            columns, out = {c: b[c].to_numpy() for c in names}, []
+            for i, z in zip(starts, [*starts[1:], len(at)], strict=True):
+                own = keys.dictionary[at[i]].as_py()
+                if own != key:
+                    out += closed()
+                    key, held = own, []
+                held.append({c: v[i:z] for c, v in columns.items()})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
+        if out := closed():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
+
+    placed = shared.select("key", "node", "n", "place", "token", "count").repartition("key").sortWithinPartitions("key", "place")
+    return placed.mapInArrow(run, fields)
+
+
+def _possible(percent: int, a: str, b: str) -> str:
+    """Whether two members (n, rare) of a list can be linked by its budget: they share no rare token."""
+    least = f"({100 - percent} * ({a}.n + {b}.n)) div {100 + percent} - {a}.rare - {b}.rare"
+    return f"{least} <= budget AND ({least} > budget div 2 OR budget = 0 AND {least} = 0) AND 100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+
+
+def _apart(percent: int, a: str, b: str) -> str:
+    """Whether two sketches rule out a link of the sets."""
+    places = f"aggregate(zip_with({a}.sketch, {b}.sketch, (s, t) -> bit_count(s ^ t)), 0, (s, t) -> s + t)"
+    return f"{100 + percent} * {places} > {100 - percent} * ({a}.n + {b}.n)"
+
+
+def star_pairs(combos: DataFrame, total: int, percent: int = PERCENT) -> DataFrame:
+    """(a, b): in each list the most central member with all others that can be linked with it."""
+    least = F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "node", "n", "rare")).alias("y")
+    lists = write_table(combos.groupBy("sig", "budget").agg(least, F.count(F.lit(1)).alias("m")).where("m > 1").drop("budget"), "lists")
+    member = combos.select("sig", "budget", F.struct("node", "n", "rare").alias("x"))
+    met = skew_join(member, lists, "sig", "m", max(1, total), F.col("x.node"), "inner").where("x.node <> y.node").where(_possible(percent, "x", "y"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def crossing_pairs(combos: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of different components within a list that sizes, budget and sketches leave possible."""
+    member = combos.join(comp.withColumnRenamed("doc_id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    opened = member.groupBy("sig", "budget").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi AND m > 2").select("sig", "budget")
+    member = write_table(member.join(opened, ["sig", "budget"], "left_semi").join(sketches, "node"), "members")
+    side = lambda c: member.select("sig", "budget", F.struct("node", "n", "rare", "comp", "sketch").alias(c))
+    rule = f"x.node < y.node AND x.comp <> y.comp AND {_possible(percent, 'x', 'y')} AND NOT {_apart(percent, 'x', 'y')}"
+    x, y = side("x"), side("y").withColumnsRenamed({"sig": "_sig", "budget": "_budget"})
+    return x.join(y, F.expr(f"sig = _sig AND budget = _budget AND {rule}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def plausible_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs`` that sizes and sketches of ``sets`` (node, n, sketch) do not rule out; a linked pair always stays."""
+    side = lambda c, k: sets.select(F.col("node").alias(k), F.struct("n", "sketch").alias(c))
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND NOT {_apart(percent, 'x', 'y')}"
+    return pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").where(fits).select("a", "b").distinct()
 
 
 def linked_pairs(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -357,7 +429,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = write_table(small, "edges")
+        edges, old = write_table(small, "edges"), edges
+        drop_tables(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -365,54 +438,49 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
 
 
-def _sized(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, key (null: empty set), sketch and fine sketch of every row."""
-
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            sets = token_sets(b["text"], shingle)
-            keys = [int(np.uint64(_key(s)).view("i8")) if len(s) else None for s in sets]
-            columns = [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), *(pa.array(k, pa.binary()) for k in zip(*map(_sketches, sets), strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sketch", "fine"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(size, "doc_id long, n_shingles long, key long, sketch binary, fine binary")
+def _several_sets(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): nodes that share a doc_id, because rows of one doc_id have different texts."""
+    several = rows.where("key IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("doc_id")
+    nodes = rows.select("doc_id", "key").join(several, "doc_id").join(groups.select("key", "node"), "key")
+    return nodes.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id; sets of ``shingle`` words link from ``percent`` on."""
-    spark = docs.sparkSession
+    """Per row of ``docs``: doc_id, n_shingles, component_id; sets of ``shingle`` words link from ``percent`` (50 to 99) on."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = write_table(_sized(docs, shingle), "sized")
-    stats = sized.agg(F.sum("n_shingles").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
-    tokens = stats["tokens"] or 0
-    buckets = _buckets(spark, 7 * tokens)
-    lists = write_table(posting_lists(docs, frequent_tokens(docs, buckets, tokens, shingle), buckets, shingle, percent), "lists")
-    star = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b")).distinct()
-    star = write_table(star, "star")
-    links = _links(star, sized, docs, "star", shingle, percent)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = write_table(index(docs, bitmaps(docs, n_bytes, shingle), shingle, percent), "index")
+    found = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    groups = write_table(found, "groups")
+    first = groups.where("node IS NOT NULL").select(F.col("key").alias("_key"), "node")
+    own = rows.join(first, F.expr("key = _key AND doc_id = node")).dropDuplicates(["key"])  # one row of each set
+    own = write_table(own.select("key", "node", F.col("n_shingles").alias("n"), "sketch", "singles", "tokens"), "own")
+    short = own.where("tokens IS NOT NULL")
+    n_tokens = short.agg(F.sum("n")).first()[0] or 0
+    postings = write_table(combination_postings(shared_tokens(short, n_tokens), percent), "postings")
+    combos = postings.where("budget >= 0")
+    pairs = _list_pairs(own.select(F.explode("singles").alias("sig"), "node")).union(_list_pairs(postings.where("budget < 0")))
+    pairs = pairs.union(star_pairs(combos, combos.count(), percent)).where("a <> b").distinct()
+    tried = write_table(plausible_pairs(pairs, own, percent), "pairs")
+    links = write_table(linked_pairs(tried, docs, shingle, percent).union(_several_sets(rows, groups)), "links")
     comp = components(links)
-    # lists whose members are not all in one component yet: their pairs across components
-    member = lists.where(F.size("members") > 2).select("list_id", F.explode("members").alias("doc_id")).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    member = write_table(member, "members")
-    open_lists = member.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list_id")
-    sizes = sized.groupBy("doc_id").agg(F.min("n_shingles").alias("n_min"), F.max("n_shingles").alias("n_max"))
-    left = member.join(open_lists, "list_id", "left_semi").join(sizes, "doc_id")
-    right = left.select("list_id", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n_min").alias("m_min"), F.col("n_max").alias("m_max"))
-    fits = f"doc_id < b AND comp <> comp_b AND 100 * n_max >= {percent} * m_min AND 100 * m_max >= {percent} * n_min"
-    pairs = left.join(right, "list_id").where(fits).select(F.col("doc_id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _links(pairs, sized, docs, "across", shingle, percent)
-    if more.take(1):
-        comp = components(links.unionByName(more))
-    groups = sized.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    groups = groups.join(comp, "doc_id", "left").select("key", "n", F.coalesce("comp", "doc_id").alias("component_id"))
-    found = skew_join(sized, groups, "key", "n", max(1, stats["rows"]), F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    across = crossing_pairs(combos, comp, own.select("node", "sketch").dropDuplicates(["node"]), percent).distinct().join(tried, ["a", "b"], "left_anti")
+    across = write_table(across, "across")
+    if across.take(1):
+        more = write_table(linked_pairs(across, docs, shingle, percent), "links")
+        if more.take(1):
+            comp = components(links.unionByName(more))
+    groups = groups.join(comp.select(F.col("doc_id").alias("node"), "comp"), "node", "left").select("key", "copies", F.coalesce("comp", "node").alias("component_id"))
+    rows = rows.select("doc_id", "n_shingles", "key")
+    out = skew_join(rows, groups, "key", "copies", max(1, rows.count()), F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_dedup_stage(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component (the least doc_id; of equal ids one row), with the columns of ``docs``."""
-    kept = jaccard_components(docs, shingle=shingle, percent=percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.expr("doc_id <=> _kept"), "left_semi").select(*docs.columns)
+    """One document of each component, that of the least doc_id, with the columns of ``docs``; rows with a null doc_id stay."""
+    found = jaccard_components(docs, shingle=shingle, percent=percent)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,22 +228,6 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_dedup_stage(_docs(spark, texts)).count() == len({c if n else d for d, (n, c) in got.items()})
 
 
-def test_jaccard_signatures_lose_no_link():
-    import numpy as np
-
-    r = np.random.default_rng(3)
-    pool = np.sort(r.integers(0, 2**64, 3000, dtype="u8"))
-    for n in (1, 3, 5, 40, 64, 90, 130, 700):
-        for _ in range(20):
-            a = np.unique(r.choice(pool, n, replace=False))
-            b = a.copy()
-            b[: n // 15] = r.integers(0, 2**64, n // 15, dtype="u8")
-            b = np.unique(b[r.random(len(b)) > 0.02])
-            if len(b) and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
-                for frequent in (pool[:0], pool, pool[::2]):
-                    assert len(np.intersect1d(jaccard_join.signatures(a, frequent), jaccard_join.signatures(b, frequent)))
-
-
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op5_warc", "op7_url_filters", "op9_exact_dedup"])
 def test_same_as_sql(spark, name):
     from gistmill.llm import queries
