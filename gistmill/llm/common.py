@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +51,25 @@ def drop_tables(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``locator``: file and row index of each row, so that its content can be found again.
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it while a column has that name."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
-    A frame that is not a plain file scan is written to the shared folder first.
+
+def located(docs: DataFrame, name: str = "locator") -> DataFrame:
+    """``docs`` with the column ``name``: file and row index of each row, so that its content can be found again.
+
+    A frame that is not a plain file scan is written to the shared folder first. Call it once and pass the
+    frame on: a second call would write, and name, other files.
     """
-    cols = [c for c in docs.columns if c != "locator"]
     where = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
     try:
-        return docs.select(*cols, where.alias("locator"))
+        return docs.select(*docs.columns, where.alias(name))
     except AnalysisException:
-        return write_table(docs.select(*cols), "located").select(*cols, where.alias("locator"))
+        return write_table(docs, "located").select(*docs.columns, where.alias(name))
 
 
 def skew_join(

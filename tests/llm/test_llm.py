@@ -215,6 +215,32 @@ def test_exact_dedup_remembers_earlier_arrivals(spark):
     assert max(r["group_size"] for r in rows) == 3 and sum(r["kept"] for r in rows) == 3
 
 
+def test_late_collision_is_split_by_earlier_bytes(spark):
+    one = lambda c: F.lit("same")
+    deduper = exact_dedup.StreamingDeduper(spark)
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact_dedup.exact_dedup(docs([(1, "first")]), digest=one, deduper=deduper)
+    exact_dedup.exact_dedup(docs([(2, "second"), (3, "first")]), digest=one, deduper=deduper)
+    rows = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs([(4, None), (5, "second")]), digest=one, deduper=deduper).collect()}
+    assert rows == {1: (3, 2, False), 3: (3, 2, True), 2: (5, 2, False), 5: (5, 2, True), 4: (4, 1, True)}
+
+
+def test_dedup_stage_keeps_rows(spark, tmp_path):
+    rows = [(1, "a", "x", "x1"), (2, "a", "y", "x2"), (3, None, "z", "x3"), (None, "", "w", "x4"), (4, "b", "v", "x5"), (None, "c", "u", "x6")]
+    schema = "doc_id long, text string, locator string, _gone string"
+    memory = spark.createDataFrame(rows, schema)
+    for i in (0, 1):
+        spark.createDataFrame(rows[3 * i : 3 * i + 3], schema).write.parquet(f"file://{tmp_path}/{i}")
+    union = spark.read.parquet(f"file://{tmp_path}/0").union(spark.read.parquet(f"file://{tmp_path}/1"))
+    want = sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+    for docs in (memory, union, spark.read.parquet(f"file://{tmp_path}/0", f"file://{tmp_path}/1")):
+        kept = exact_dedup.dedup_stage(docs)
+        assert kept.columns == docs.columns and sorted(str(tuple(r)) for r in kept.collect()) == want
+    assert exact_dedup.dedup_stage(memory.limit(0)).count() == 0 and exact_dedup.exact_dedup(memory.limit(0)).count() == 0
+    ties = spark.createDataFrame([(7, "t"), (7, "t"), (7, "u"), (None, "t")], "doc_id long, text string")
+    assert sorted((r["text_sha256"][:4], r["kept"]) for r in exact_dedup.exact_dedup(ties).collect()).count((hashlib.sha256(b"t").hexdigest()[:4], True)) == 1
+
+
 def test_jaccard_join(spark):
     r = random.Random(5)
     texts = list(TEXTS)
