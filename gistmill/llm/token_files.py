@@ -3,76 +3,161 @@
 Each part has ``<name>.bin``, the ids of its documents back to back as little-endian
 unsigned integers (16 bits if the vocabulary allows it, else 32), and ``<name>.idx``:
 the number of documents, their ids (64-bit), a null mask and n + 1 token offsets (64-bit). Parts are
-ranges of doc_id, so that part after part is ascending; a part's base is the prefix
-sum of the token counts of those before it (one number a part). Readers map the files.
+ranges of doc_id of about ``PART_BYTES`` of text, so that part after part is ascending; a part's base is the prefix
+sum of the token counts of those before it (one number a part, summed in groups). Readers map the files.
 
-Texts are cut before white space runs of length one; the pre-tokeniser never joins two
-sides of such a cut, so each piece is encoded once per worker and kept in a bounded table.
+Texts are cut where the pre-tokeniser always has a bound: before a space or a full stop that stands behind and before
+certain characters, and around a single line feed. The distinct pieces of a batch are found in Arrow; each is encoded once
+per worker, its ids kept in a bounded table, and the ids of whole texts are gathered from that table with numpy.
 
 Files are written under a name of their own for each attempt, and only files that a
 finished task reports are read: a lost executor leaves at most an unused file.
 
-Edge cases: null text counts as empty and has the end id alone; equal doc_ids are ordered by
-their ids' checksum; a null doc_id comes first; an empty table gives an empty result.
+Edge cases: null text counts as empty and has the end id alone; rows of equal doc_ids are ordered by
+their text; a null doc_id comes first; long texts are pieces like others; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import work_dir, write_table
+from .common import pieces, work_dir, write_table
 
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 250_000
-PART_DOCS = 20_000
+REMEMBERED = 200_000
+PART_BYTES = 32 << 20
+#: Parts whose token counts are summed as one for the prefix sums.
+GROUP = 1024
+#: New pieces that are encoded in one string, and bytes of text that are encoded at once.
+JOINED, ENCODED_BYTES = 200, 4 << 20
 PART_SCHEMA = pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
-_RUN = re.compile(r"\s\s")
+
+
+def _bytes(chars: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), list(chars))
+
+
+_BLANK = _bytes(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0")
+#: Bytes that white space beyond ASCII begins with.
+_LEAD = _bytes(b"\xc2\xe1\xe2\xe3")
+_STOP = _bytes(b".,;:!?")
+_ALNUM = _bytes(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places at which pieces of the texts that begin at ``starts`` begin; sorted, those of empty texts left out."""
+    cut = np.zeros(len(data), bool)
+    if len(data) > 1:
+        solid = ~_BLANK[data] & ~_LEAD[data]
+        cut[:-1] |= (data[:-1] == 32) & solid[1:]
+        ascii_solid = ~_BLANK[data] & (data < 128)
+        line = data == 10
+        cut[1:] |= line[1:] & ascii_solid[:-1]
+        cut[2:] |= line[1:-1] & ascii_solid[:-2] & solid[2:] & ~_BLANK[data[2:]]
+        cut[1:] |= _STOP[data[1:]] & _ALNUM[data[:-1]]
+    cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Texts to packed ids by a tokenizers file, each distinct piece encoded once."""
+    """Texts to ids by a tokenizers file, each distinct piece encoded once."""
 
     def __init__(self, definition: str, end_id: int | None, dtype: str) -> None:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(definition)
-        self.dtype, self.end = dtype, b"" if end_id is None else np.array([end_id], dtype).tobytes()
-        # only strings like these could be special tokens across a cut
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        self.dtype = dtype
+        self.end = [] if end_id is None else [end_id]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        kind = type(self.tokenizer.pre_tokenizer).__name__
+        # cuts are known to be bounds of the byte-level pre-tokeniser, and only if no added token reaches across one
+        self.whole = kind != "ByteLevel" or self.tokenizer.normalizer is not None or any(t.lstrip or t.rstrip or set(" \n.,;:!?") & set(t.content) for t in added)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values()) + 1, "i8")  # bytes of each id: the byte-level alphabet has a character a byte
+        for text, i in vocab.items():
+            self.width[i] = len(text)
+        for t, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[t] = len(token.content.encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begin = np.array(self.end, self.dtype), np.array([0, len(self.end)], "i8")  # number 0 is the end
+
+    def _encoded(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of the texts, and how many each has."""
+        found, sizes = [], []
+        for i in range(0, len(texts), 10_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)]
+            sizes += map(len, ids)
+            found.append(np.fromiter(chain.from_iterable(ids), self.dtype))
+        return found, np.array(sizes, "i8")
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces that may follow one another, and how many each has: encoded in a row and parted by the bytes that each id stands for."""
+        length = np.array([len(x.encode()) for x in pieces], "i8")
+        found, _ = self._encoded(["".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)])
+        ids = np.concatenate(found)
+        ends, bounds = np.cumsum(self.width[ids]), np.cumsum(length)
+        at = np.searchsorted(ends, bounds)
+        if at[-1] >= len(ends) or (ends[at] != bounds).any():
+            return None
+        return ids, np.diff(at + 1, prepend=0)
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Number of each of these distinct pieces; ``ids[begin[k] : begin[k + 1]]`` are the ids of number k."""
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self._forget()
         known = self.known
-        cut: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        for text in texts:
-            if _RUN.search(text) or (self.special and self.special.search(text)):
-                cut.append(None)
-                continue
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-            cut.append(pieces)
-            missing.update(dict.fromkeys(x for x in pieces if x not in known))
-        new = list(missing)
-        for i in range(0, len(new), 10_000):
-            known.update(zip(new[i : i + 10_000], self.whole(new[i : i + 10_000]), strict=True))
-        odd = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [(next(odd) if c is None else b"".join(map(known.__getitem__, c))) + self.end for c in cut]
+        out = np.fromiter(map(known.get, pieces, repeat(-1)), "i8", len(pieces))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
+            apart = [x[0] != " " or len(x) < 2 or x[1] == " " for x in new] if not self.whole else [True] * len(new)
+            row = [x for x, odd in zip(new, apart, strict=True) if not odd]
+            joined = self._joined(row) if row else None
+            if joined is None:
+                apart, row = [True] * len(new), []
+            alone = [x for x, odd in zip(new, apart, strict=True) if odd]
+            found, sizes = self._encoded(alone)
+            if row:
+                found, sizes = [*found, joined[0]], np.concatenate([sizes, joined[1]])
+            n = len(self.begin) - 1
+            known.update(zip(alone + row, range(n, n + len(new)), strict=True))
+            self.ids, self.begin = np.concatenate([self.ids, *found]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            out[missing] = np.fromiter(map(known.__getitem__, new), "i8", len(new))
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each text's), each with the end id."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
+        first, last = (int(bounds[0]), int(bounds[-1])) if len(texts) else (0, 0)
+        data = np.frombuffer(texts.buffers()[2], "u1")[first:last] if last > first else np.zeros(0, "u1")
+        bounds = bounds - first
+        full = bounds[:-1][np.diff(bounds) > 0]
+        starts = full if self.whole else cuts(data, full)
+        offsets = np.append(starts, len(data)).astype("<i8")
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        own = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(starts) else np.zeros(0, "i8")
+        # the end, number 0, behind the last piece of each text
+        behind = np.searchsorted(starts, bounds[1:], "left")
+        own = np.insert(own, behind, 0)
+        size = np.diff(self.begin)[own]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[own] - (ends - size), size)
+        closing = behind + np.arange(len(behind))
+        return self.ids[at], np.concatenate([[0], ends[closing]])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -99,12 +184,16 @@ class PartWriter:
         self.uri, self.path, self.width = f"{folder}/{name}", f"{path}/{name}", np.dtype(dtype).itemsize
         self.bin = self.fs.open_output_stream(self.path + ".bin")
         self.ids: list[int | None] = []
-        self.offsets = [0]
+        self.offsets = [np.zeros(1, "i8")]
+
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
+        self.bin.write(ids.tobytes())
+        self.ids.extend(doc_ids)
+        self.offsets.append(self.offsets[-1][-1] + bounds[1:])
 
-    def add(self, doc_id: int | None, packed: bytes) -> None:
-        self.bin.write(packed)
-        self.ids.append(doc_id)
-        self.offsets.append(self.offsets[-1] + len(packed) // self.width)
+    @property
+    def tokens(self) -> int:
+        return int(self.offsets[-1][-1])
 
     def close(self) -> None:
         self.bin.close()
@@ -112,7 +201,7 @@ class PartWriter:
             out.write(np.array([len(self.ids)], "<u8").tobytes())
             out.write(np.array([x or 0 for x in self.ids], "<i8").tobytes())
             out.write(np.array([x is None for x in self.ids], "u1").tobytes())
-            out.write(np.array(self.offsets, "<u8").tobytes())
+            out.write(np.concatenate(self.offsets).astype("<u8").tobytes())
 
 
 def _buffer(uri: str) -> pa.Buffer:
@@ -137,89 +226,52 @@ def read_part(uri: str, dtype: str) -> Iterator[tuple[int | None, int, np.ndarra
         yield None if nulls[i] else int(ids[i]), offsets[i], tokens[offsets[i] : offsets[i + 1]]
 
 
-def _ranges(docs: DataFrame, part_docs: int) -> list:
-    """Cut points of doc_id so that parts hold about ``part_docs`` rows."""
-    n = docs.count()
-    parts = max(1, -(-n // part_docs))
-    if parts == 1:
-        return []
-    q = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    return sorted(set(q or []))
-
-
-def write_tokens(docs: DataFrame, folder: str, definition: str, *, end_id: int | None = None, vocab_size: int = 1 << 16, part_docs: int = PART_DOCS) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, definition: str, *, end_id: int | None = None, vocab_size: int = 1 << 16, part_bytes: int = PART_BYTES) -> DataFrame:
     """Encode and write; returns the parts: part, path, docs, tokens, base, dtype."""
     dtype = "<u2" if vocab_size <= 1 << 16 else "<u4"
-    spark = docs.sparkSession
-    setting = spark.sparkContext.broadcast((definition, end_id, dtype))
-    cuts = _ranges(docs.select("doc_id"), part_docs)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(*setting.value)
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                c = b.slice(i, 256)
-                packed = encoder([x or "" for x in c["text"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([c["part"], c["doc_id"], pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
-
-    bounds = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<bigint>")
-    # the number of cuts at or below doc_id, found by halving: cuts ascend
-    part = F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))), F.lit(0)) if len(cuts) < 64 else _bisect(F.col("doc_id"), cuts)
-    encoded = docs.select(F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("int").alias("part"), "doc_id", "text").mapInArrow(
-        encode, "part int, doc_id long, ids binary"
-    )
+    setting = docs.sparkSession.sparkContext.broadcast((definition, end_id, dtype))
+    n_bytes = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, out = None, None
-
-        def closed() -> pa.RecordBatch:
-            out.close()
-            return pa.RecordBatch.from_pylist([{"part": part, "path": out.uri, "docs": len(out.ids), "tokens": out.offsets[-1]}], schema=PART_SCHEMA)
-
-        for b in batches:
-            for k, d, x in zip(b["part"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                if k != part:
-                    if out:
-                        yield closed()
-                    part, out = k, PartWriter(folder, f"part-{k:07d}-{uuid.uuid4().hex[:8]}", dtype)
-                out.add(d, x)
+        encoder, out = _encoder(*setting.value), None
+        for whole in batches:
+            for b in pieces(iter([whole]), ENCODED_BYTES):
+                k = b["part"][0].as_py()
+                out = out or PartWriter(folder, f"part-{k:07d}-{uuid.uuid4().hex[:8]}", dtype)
+                out.add(b["doc_id"].to_pylist(), *encoder(b["text"]))
         if out:
-            yield closed()
-
-    placed = encoded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", F.crc32("ids"), "ids")
-    parts = write_table(placed.mapInArrow(write, "part int, path string, docs long, tokens long"), "token-parts")
-    rows = sorted(parts.collect(), key=lambda r: r["part"])  # one row for each file
-    base, out = 0, []
-    for r in rows:
-        out.append((r["part"], r["path"], r["docs"], r["tokens"], base, dtype))
-        base += r["tokens"]
-    return spark.createDataFrame(out, "part int, path string, docs long, tokens long, base long, dtype string")
-
+            out.close()
+            yield pa.RecordBatch.from_pylist([{"part": k, "path": out.uri, "docs": len(out.ids), "tokens": out.tokens}], schema=PART_SCHEMA)
 
-def _bisect(col, cuts: list):
-    """Nested CASE over halves: log2(cuts) comparisons a row."""
+    ranged = docs.select("doc_id", "text").repartitionByRange(max(1, -(-n_bytes // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(write, "part int, path string, docs long, tokens long")
+    return with_bases(write_table(parts, "token-parts")).withColumn("dtype", F.lit(dtype))
 
-    def node(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col >= F.lit(cuts[mid]), node(mid + 1, hi)).otherwise(node(lo, mid))
 
-    return node(0, len(cuts))
+def with_bases(parts: DataFrame, group: int = GROUP) -> DataFrame:
+    """``parts`` with ``base``, the tokens of all parts before: sums of groups first (one number for each ``group`` parts), then within."""
+    grouped = parts.withColumn("_group", F.floor(F.col("part") / group).cast("int"))
+    sums = grouped.groupBy("_group").agg(F.sum("tokens").alias("n")).orderBy("_group").collect()
+    bases, base = [], 0
+    for r in sums:
+        bases.append((r["_group"], base))
+        base += r["n"]
+    first = parts.sparkSession.createDataFrame(bases, "_group int, _first long")
+    before = Window.partitionBy("_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return grouped.join(F.broadcast(first), "_group").withColumn("base", F.col("_first") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("_group", "_first")
 
 
 def read_tokens(parts: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for b in batches:
             for path, base, dtype in zip(b["path"].to_pylist(), b["base"].to_pylist(), b["dtype"].to_pylist(), strict=True):
                 rows = [(d, base + at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, at, x in read_part(path, dtype)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    n = max(1, parts.count())
-    return parts.repartitionById(n, F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartitionById(max(1, parts.count()), F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

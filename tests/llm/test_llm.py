@@ -175,22 +175,58 @@ def test_url_filter(spark, url, rule, verdict):
     assert (row["rule"], row["verdict"]) == (rule, verdict)
 
 
+def _token_rows(spark, rows, **setting):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, part int, base long")
+    parts = token_files.write_tokens(docs, work_dir(spark, "tokens"), definition, end_id=2, vocab_size=50_257, **setting)
+    return parts, [tuple(r) for r in token_files.read_tokens(parts).collect()]
+
+
 def test_token_files(spark):
     import numpy as np
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    texts = TEXTS + ["a <|endoftext|> b", "  two  spaces ", "x\n\n y", "it's we'll\tgo"]
-    with open(path, encoding="utf-8") as f:
-        parts = token_files.write_tokens(_docs(spark, texts), work_dir(spark, "tokens"), f.read(), end_id=2, vocab_size=50_257, part_docs=7)
-    got, start = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_tokens(parts).collect()}, 0
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    draw = random.Random(4)
+    alphabet = ["a", "B", "7", " ", " ", "\n", "\n", "\t", "\r", ".", ",", "'s", "'", "!?", "é", "漢", "あ", "\u00a0", "\u3000", "\u2028", "\u1680", "\x1c", "\x85", "…", "😀", "<|endoftext|>", "-", "\x0b"]
+    texts = TEXTS + ["a <|endoftext|> b", "  two  spaces ", "x\n\n y", "it's we'll\tgo"] + ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(1500)]
+    parts, rows = _token_rows(spark, list(enumerate(texts)), part_bytes=3000)
+    got, start = {r[0]: r[1:] for r in rows}, 0
     for i, text in enumerate(texts):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
-        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
         start += len(ids)
     assert parts.count() > 1
+    bases = [(r["part"], r["base"]) for r in parts.orderBy("part").collect()]
+    again = token_files.with_bases(parts.drop("base"), group=2)
+    assert bases == [(r["part"], r["base"]) for r in again.orderBy("part").collect()]
+
+
+def test_token_files_of_odd_tables(spark):
+    assert _token_rows(spark, [])[1] == []
+    rows = [(5, "b"), (None, "x"), (5, "a"), (5, None), (5, "a"), (None, None)]
+    parts, got = _token_rows(spark, rows)
+    assert sorted(str(r[0]) for r in got) == ["5", "5", "5", "5", "None", "None"] and sorted(r[1] for r in got if r[0] is None) == [0, 1]
+    assert sorted(r[1] for r in got) == [0, 1, 3, 4, 6, 8] and sum(r[2] for r in got) == 10
+    assert len({r[3] for r in got if r[2] == 1}) == 1
+
+
+def test_encoder_starts_afresh(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read(), 2, "<u2")
+    for k in range(5):
+        texts = [_words(k, 40), None, "", _words(k + 1, 40)]
+        ids, bounds = encoder(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_exact_dedup_with_colliding_digests(spark):
