@@ -8,7 +8,7 @@ which of the two outcomes happens is drawn so that either's mean is unchanged.
 
 Leaves of the reduction tree are (source, hash bucket) groups of about ``LEAF`` documents;
 each leaves one undecided document. The undecided ones meet in groups of ``FAN`` leaves,
-level by level, until one is left per source, which goes to its nearer bound. A hot
+level by level, until one is left per source, which is drawn by its probability. A hot
 source has many leaves, so no task sees more than a leaf. Draws depend on the seed and
 the group alone: reruns agree.
 
@@ -119,7 +119,7 @@ def _round_group(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame],
         mass = group["size"] * group["units"]
         out, held, p = pivotal(list(zip(mass.tolist(), group["p"].tolist(), strict=True)), draw)
         if last and held is not None:
-            out[held] = int(p >= 0.5)  # the nearer one: the source is off by half a document at most
+            out[held] = int(draw() < p)  # the source is off by less than that document
         return group.assign(extra=out, p=[p if x == -1 else 0.0 for x in out])
 
     return run
@@ -161,13 +161,10 @@ def mix(docs: DataFrame, *, seed: int = 7) -> DataFrame:
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    copies = mix(docs).where("copies > 0").select("doc_id", "source_key", "size", "copies").distinct()
-    rows = docs.withColumn("_key", source_key(F.col("source"))).withColumn("_size", n_words(F.col("text")))
-    taken = rows.join(
-        copies.select(F.col("doc_id").alias("_id"), "source_key", "size", "copies"),
-        F.expr("doc_id <=> _id AND _key = source_key AND _size = size"),
-    )
-    return taken.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = mix(docs.select("doc_id", "source", "text")).where("copies > 0").select("doc_id", "source_key", "size", "copies").distinct()
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), source_key(docs["source"]).alias("key"), n_words(docs["text"]).alias("words"))
+    taken = rows.join(copies, F.expr("id <=> doc_id AND key = source_key AND words = size"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

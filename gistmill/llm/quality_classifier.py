@@ -13,7 +13,8 @@ Scoring reads every document and every word.
 
 Edge cases: null, empty and blank texts have no features and score the bias alone; without
 both labels in the training rows all scores are the share of label 1 (0.5 without rows);
-repeated rows score alike; null labels are not learned from; further columns are ignored.
+repeated rows score alike (each is learned from); null labels and null doc_ids are not learned from; long texts count with all
+their words; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,12 +12,14 @@ the fence of its group on any rule goes. The fences replace fixed cutoffs: text
 is usual for its language and source stays.
 
 Only DataFrame functions are used. Repeated 3-word windows are found in each row: a
-64-bit word per window holds 40 bits of its hash above 24 bits of its place, one
-primitive sort brings equal windows together, and candidates are compared as words.
+64-bit word per window holds bits of its hash above those of its place (as many as the text's number of words takes), one
+primitive sort brings equal windows together, and neighbours up to two apart are compared as words. What
+this can miss are two windows of a text, both repeated, that share a hash and interleave: for 100,000 words a
+chance of 10^-5 that any two share one.
 
 Edge cases: null or empty text has no words and fails the base rules; null lang or
-source is a group of its own; repeated rows are judged alike, once each; an empty
-table gives an empty result; further columns are ignored.
+source is a group of its own; repeated rows are judged alike, once each; a null doc_id stays null; texts are as long as an array
+can be; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,24 +47,27 @@ def _without(col: Column, chars: str) -> Column:
     return F.translate(col, chars, "")
 
 
+def _place_bits(words: Column) -> Column:
+    """Bits that the place of a window takes in its key."""
+    return F.char_length(F.bin(F.size(words).cast("long")))
+
+
 def _window_keys(words: Column) -> Column:
-    """The sorted keys of all 3-word windows: 40 bits of hash, then 24 bits of place."""
-    windows = F.size(words) - 2
-    key = lambda i: F.shiftleft(F.xxhash64(words[i], words[i + 1], words[i + 2]), 24).bitwiseOR(i.cast("long"))
+    """The sorted keys of all 3-word windows: bits of the hash, then those of the place."""
+    windows, bits = F.size(words) - 2, _place_bits(words)
+    key = lambda i: F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), bits).bitwiseOR(i.cast("long"))
     places = F.when(windows > 1, F.sequence(F.lit(0), windows - 1)).otherwise(F.array().cast("array<int>"))
     return F.sort_array(F.transform(places, key))
 
 
-def _place(key: Column) -> Column:
-    return key.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-
-
 def _twins(keys: Column, words: Column, step: int) -> Column:
     """Places of the windows whose words equal those of the window ``step`` further in the sorted keys."""
-    near = lambda a, b: F.shiftrightunsigned(a, 24) == F.shiftrightunsigned(b, 24)
+    bits = _place_bits(words)
+    place = lambda key: key.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+    near = lambda a, b: F.call_function("shiftrightunsigned", a, bits) == F.call_function("shiftrightunsigned", b, bits)
     same = lambda a, b: (words[a] == words[b]) & (words[a + 1] == words[b + 1]) & (words[a + 2] == words[b + 2])
     later = F.slice(keys, step + 1, F.greatest(F.size(keys) - step, F.lit(0)))
-    pairs = F.zip_with(keys, later, lambda a, b: F.when(near(a, b), F.when(same(_place(a), _place(b)), F.array(_place(a), _place(b)))))
+    pairs = F.zip_with(keys, later, lambda a, b: F.when(near(a, b), F.when(same(place(a), place(b)), F.array(place(a), place(b)))))
     return F.flatten(F.filter(pairs, lambda x: x.isNotNull()))
 
 

@@ -12,8 +12,8 @@ splits before each run of markers: such units are solved once per worker, kept i
 bounded table, and joined. A unit is scanned over UTF-8 bytes in time linear in its length
 times the longest piece.
 
-Edge cases: null counts as empty and gives no ids; empty texts give no ids; further
-columns are ignored; repeated rows give equal results.
+Edge cases: null counts as empty and gives no ids; empty texts give no ids; an empty table gives an empty result; further
+columns are ignored, whatever their names; repeated rows give equal results; a null doc_id stays null; long texts are solved unit by unit.
 """
 
 from __future__ import annotations
@@ -167,13 +167,12 @@ class Codec:
 
     def _solve_marked(self, text: str) -> bytes:
         """A text that holds U+2581 itself, which is spelled by its bytes."""
-        stand = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in text)
         literal = [self.pieces.byte_ids[x] for x in MARK.encode()]
         ids: list[int] = []
-        for unit in _units(text.replace(MARK, stand)):
-            for i, part in enumerate(unit.split(stand)):
-                ids.extend(literal if i else ())
-                ids.extend(self.viterbi(part))
+        for i, part in enumerate(text.split(MARK)):
+            ids.extend(literal if i else ())
+            for unit in re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", ("" if i else MARK) + part.replace(" ", MARK)):
+                ids.extend(self.viterbi(unit))
         return np.array(ids, "<i4").tobytes()
 
     def packed(self, text: str) -> bytes:

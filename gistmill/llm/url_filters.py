@@ -8,7 +8,7 @@ a rule given as both allow and block blocks.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and matches
 nothing; an empty rule list matches nothing; urls without a match take ``default``;
-repeated rows are judged alike; further columns are ignored.
+repeated rows are judged alike; a null id stays null; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ tree merges the runs by URL key and timestamp, so ranges in order give one globa
 ordered capture history. Only index entries move, never payloads, and a merge holds one
 entry a run besides the range's own entries.
 
-Reading: archives are streamed record by record; payload bytes and digest of a response
-are computed from its bytes, those of a revisit are the ones of its record's headers.
+Reading: the merged index's entries say where each record lies; they are dealt out by blocks of archives and
+read there. Payload bytes and digest of a response are computed from its bytes, those of a revisit are the ones of its record's headers.
 
 A hot payload (or host) does not gather in one task: rows meet their payload's group through a
 salted join, and index ranges are cut by key and page_id. Archives are written under
@@ -25,6 +25,7 @@ one is the response; an empty table gives an empty result; further columns are i
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,6 +44,7 @@ ARCHIVE_BYTES = 64 << 20
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 INDEX_FIELDS = "url_key string, ts string, page_id long, record_type string, digest string, archive string, offset long, length long"
 RANGE_ENTRIES = 50_000
+BLOCK_BYTES = 8 << 20
 
 
 class LoserTree:
@@ -200,14 +202,16 @@ def merge_index(runs: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFram
     n = max(1, -(-runs.count() // range_entries))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, list[tuple]] = {}
+        # entries come run by run, each in order; where the shuffle broke a run in two, each part is a run
+        runs: list[list[tuple]] = []
         for b in batches:
             for entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own.setdefault(entry[5], []).append(entry)
-        # the shuffle may interleave a run's blocks: each is put in order again, in linear time where it is
-        keyed = [[(_order(e), e) for e in sorted(r, key=_order)] for _, r in sorted(own.items())]
+                keyed = (_order(entry), entry)
+                if not runs or runs[-1][-1][1][5] != entry[5] or keyed[0] < runs[-1][-1][0]:
+                    runs.append([])
+                runs[-1].append(keyed)
         out: list[tuple] = []
-        for _, entry in LoserTree(keyed):
+        for _, entry in LoserTree(runs):
             out.append(entry)
             if len(out) == 4096:
                 yield _batch(out)
@@ -240,44 +244,53 @@ def parse_records(stream: Any) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block[: int(headers["Content-Length"])]
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Per record of the listed archives (column ``archive``): page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def _parsed(headers: dict[str, str], block: bytes) -> tuple:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of a record."""
+    page = int(headers["X-Page-Id"]) if "X-Page-Id" in headers else None
+    if headers["WARC-Type"] == "revisit":
+        refers = headers.get("X-Refers-To-Page")
+        return page, int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", refers and int(refers)
+    payload = block.partition(b"\r\n\r\n")[2]
+    digest = hashlib.sha256(payload).hexdigest()
+    if digest != headers["WARC-Payload-Digest"].removeprefix("sha256:"):
+        raise ValueError(f"page {page}: the payload does not have its digest")
+    return page, len(payload), digest, "response", None
+
+
+def read_captures(index: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per entry of the index: page_id, payload_bytes, payload_digest, record_type, refers_to, read at the entry's place.
+
+    Entries are dealt out by archive and block of ``block_bytes``, so archives are read in many tasks, each block front to back.
+    """
     fields = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
-    def one(headers: dict[str, str], block: bytes) -> tuple:
-        page = int(headers["X-Page-Id"]) if "X-Page-Id" in headers else None
-        if headers["WARC-Type"] == "revisit":
-            refers = headers.get("X-Refers-To-Page")
-            return page, int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", refers and int(refers)
-        payload = block.partition(b"\r\n\r\n")[2]
-        digest = hashlib.sha256(payload).hexdigest()
-        if digest != headers["WARC-Payload-Digest"].removeprefix("sha256:"):
-            raise ValueError(f"page {page}: the payload does not have its digest")
-        return page, len(payload), digest, "response", None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: tuple[str, Any] = ("", None)
         for b in batches:
-            for uri in b["archive"].to_pylist():
-                fs, path = pafs.FileSystem.from_uri(uri)
-                with fs.open_input_stream(path, compression=None) as stream:
-                    rows = []
-                    for headers, block in parse_records(stream):
-                        rows.append(one(headers, block))
-                        if len(rows) == 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
-
-    return archives.mapInArrow(run, fields)
+            rows = []
+            for uri, offset, length in zip(b["archive"].to_pylist(), b["offset"].to_pylist(), b["length"].to_pylist(), strict=True):
+                if uri != opened[0]:
+                    if opened[1]:
+                        opened[1].close()
+                    fs, path = pafs.FileSystem.from_uri(uri)
+                    opened = uri, fs.open_input_file(path)
+                opened[1].seek(offset)
+                (record,) = parse_records(io.BytesIO(opened[1].read(length)))
+                rows.append(_parsed(*record))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
+        if opened[1]:
+            opened[1].close()
+
+    placed = index.select("archive", "offset", "length", F.floor(F.col("offset") / block_bytes).alias("block"))
+    return placed.repartition("archive", "block").sortWithinPartitions("archive", "offset").mapInArrow(run, fields)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write archives, merge their index, and read back every archive that the index names."""
+    """Write archives, merge their index, and read back every capture that the index holds."""
     folder = folder or work_dir(pages.sparkSession, "warc")
-    index = write_table(merge_index(write_archives(pages, folder)), "capture-index")
-    return read_archives(index.select("archive").distinct())
+    return read_captures(write_table(merge_index(write_archives(pages, folder)), "capture-index"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

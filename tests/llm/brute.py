@@ -26,12 +26,12 @@ def repeated_bytes(docs, length=50):
     return out
 
 
-def jaccard_components(docs, percent=85):
+def jaccard_components(docs, percent=85, shingle=4):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for d, t in docs:
         w = WORD.findall((t or "").translate(lower))
-        sets[d] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()
     up = {d: d for d in sets}
 
     def root(x):
