@@ -107,3 +107,25 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
             to = max(at + 1, int(np.searchsorted(ends, done + size)))
             yield b.slice(at, to - at)
             at = to
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values[begin[k] : begin[k + 1]]`` of each k of ``numbers`` in a row, and the end of each in it."""
+    size = np.diff(begin)[numbers]
+    ends = np.cumsum(size)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[numbers] - (ends - size), size)
+    return values[at], ends
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts in a row, bounds of each); null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "i8")
+    first, last = int(bounds[0]), int(bounds[-1])
+    data = np.frombuffer(texts.buffers()[2], "u1")[first:last] if last > first else np.zeros(0, "u1")
+    return data, bounds - first
+
+
+def large_strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The strings ``data[bounds[k] : bounds[k + 1]]``, without a copy."""
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, "<i8")), pa.py_buffer(np.ascontiguousarray(data)))

@@ -26,12 +26,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, work_dir, write_table
+from .common import gathered, large_strings, pieces, text_bytes, work_dir, write_table
 
 #: Pieces that a worker remembers before it starts afresh.
 REMEMBERED = 200_000
@@ -140,24 +139,15 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's), each with the end id."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
-        first, last = (int(bounds[0]), int(bounds[-1])) if len(texts) else (0, 0)
-        data = np.frombuffer(texts.buffers()[2], "u1")[first:last] if last > first else np.zeros(0, "u1")
-        bounds = bounds - first
+        data, bounds = text_bytes(texts)
         full = bounds[:-1][np.diff(bounds) > 0]
         starts = full if self.whole else cuts(data, full)
-        offsets = np.append(starts, len(data)).astype("<i8")
-        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        coded = large_strings(data, np.append(starts, len(data))).dictionary_encode()
         own = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(starts) else np.zeros(0, "i8")
         # the end, number 0, behind the last piece of each text
         behind = np.searchsorted(starts, bounds[1:], "left")
-        own = np.insert(own, behind, 0)
-        size = np.diff(self.begin)[own]
-        ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[own] - (ends - size), size)
-        closing = behind + np.arange(len(behind))
-        return self.ids[at], np.concatenate([[0], ends[closing]])
+        ids, ends = gathered(self.ids, self.begin, np.insert(own, behind, 0))
+        return ids, np.concatenate([[0], ends[behind + np.arange(len(behind))]])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -86,6 +86,25 @@ def test_codec_finds_the_best_path_of_whole_texts(codec):
         assert score(text) == pytest.approx(best(text) if text else 0.0)
 
 
+def test_units_side_by_side_are_solved_like_single_ones(codec, monkeypatch):
+    draw = random.Random(8)
+    units = [" " * draw.randint(0, 3) + "".join(draw.choice(["e", "th", "ing", "é", "漢", "😀", "#", "zq", "\n", "0", "\0"]) for _ in range(draw.randint(1, 20))) for _ in range(400)]
+    for wide, rows in ((64, 20_000), (12, 7)):
+        monkeypatch.setattr(sentencepiece_codec, "WIDE", wide)
+        monkeypatch.setattr(sentencepiece_codec, "ROWS", rows)
+        ids, count = codec._solve(units)
+        assert ids.tolist() == [x for u in units for x in codec.viterbi(u)] and count.tolist() == [len(codec.viterbi(u)) for u in units]
+
+
+def test_batches_are_encoded_like_single_texts(codec):
+    import pyarrow as pa
+
+    texts = ["a b", None, "", "▁", "x ▁ y", " ", "  two  ", LONG[:900], "▁▁", "end"]
+    ids, bounds = codec.encode_all(pa.array(["skipped", *texts]).slice(1))
+    assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:])] == [codec.encode(t or "") for t in texts]
+    assert codec.decode_all(ids, bounds).to_pylist() == [t or "" for t in texts]
+
+
 def test_codec_query_of_odd_tables(spark, codec):
     docs = _docs(spark, [(None, "a b", None, None, 1), (2, None, "x", "y", 1), (2, None, "x", "y", 1), (3, LONG, "x", "y", 1)])
     rows = sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model(), with_text=True).collect()
