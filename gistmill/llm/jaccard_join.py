@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,8 @@ SHINGLE = 4
 PERCENT = 85
 COUNTED = 0.3
 TAU = 4
-MIN_BITS, MAX_BITS = 16, 27
+MIN_BITS, MAX_BITS = 16, 26
+CONTRACTED = 1_000_000
 BUCKET_BYTES = 16 << 20
 SKETCH_BITS = 1024
 HASH_BYTES = 1 << 20
@@ -256,9 +258,8 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 _INDEX = "doc_id long, n_shingles long, key binary, sketch array<long>, singles array<long>, tokens binary"
 
 
-def index(docs: DataFrame, found: tuple[int, np.ndarray, np.ndarray], shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def index(docs: DataFrame, shared: Broadcast, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: size, digest (null: empty set) and sketch of its set, its rare tokens to index, and the whole set if those are too few."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, twice, often = shared.value
@@ -417,11 +418,42 @@ def linked_pairs(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, perc
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, with the same components: up to CONTRACTED of a task at a time become stars around their least nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            found = [(x, root(x)) for x in list(up)]
+            u, v = (np.array([e[k] for e in found if e[0] != e[1]], "i8") for k in (0, 1))
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
+                x, y = root(u), root(v)
+                up[max(x, y)] = min(x, y)
+            if len(up) >= CONTRACTED:
+                yield stars()
+        if up:
+            yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, comp): least doc_id reachable, for every doc_id in a link. Large-star and small-star steps until nothing changes."""
-    edges = write_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    edges = write_table(_contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), "edges")
+    before = mark(edges)
+    while before[0]:
         # large star: larger neighbours move to the least of the neighbourhood; u > v always
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -431,7 +463,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges, old = write_table(small, "edges"), edges
         drop_tables(old)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = mark(edges)
         if now == before:
             break
         before = now
@@ -449,15 +481,17 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     """Per row of ``docs``: doc_id, n_shingles, component_id; sets of ``shingle`` words link from ``percent`` (50 to 99) on."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = write_table(index(docs, bitmaps(docs, n_bytes, shingle), shingle, percent), "index")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps(docs, n_bytes, shingle))
+    rows = write_table(index(docs, shared, shingle, percent), "index")
+    shared.destroy()
+    stats = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("tokens").isNotNull(), F.col("n_shingles"))).alias("tokens")).first()
     found = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     groups = write_table(found, "groups")
     first = groups.where("node IS NOT NULL").select(F.col("key").alias("_key"), "node")
     own = rows.join(first, F.expr("key = _key AND doc_id = node")).dropDuplicates(["key"])  # one row of each set
     own = write_table(own.select("key", "node", F.col("n_shingles").alias("n"), "sketch", "singles", "tokens"), "own")
     short = own.where("tokens IS NOT NULL")
-    n_tokens = short.agg(F.sum("n")).first()[0] or 0
-    postings = write_table(combination_postings(shared_tokens(short, n_tokens), percent), "postings")
+    postings = write_table(combination_postings(shared_tokens(short, stats["tokens"] or 0), percent), "postings")
     combos = postings.where("budget >= 0")
     pairs = _list_pairs(own.select(F.explode("singles").alias("sig"), "node")).union(_list_pairs(postings.where("budget < 0")))
     pairs = pairs.union(star_pairs(combos, combos.count(), percent)).where("a <> b").distinct()
@@ -472,7 +506,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
             comp = components(links.unionByName(more))
     groups = groups.join(comp.select(F.col("doc_id").alias("node"), "comp"), "node", "left").select("key", "copies", F.coalesce("comp", "node").alias("component_id"))
     rows = rows.select("doc_id", "n_shingles", "key")
-    out = skew_join(rows, groups, "key", "copies", max(1, rows.count()), F.col("doc_id"))
+    out = skew_join(rows, groups, "key", "copies", max(1, stats["rows"]), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

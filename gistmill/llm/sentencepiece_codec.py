@@ -37,8 +37,9 @@ from .common import gathered, large_strings, pieces, text_bytes
 
 MARK = "▁"
 UNK_PENALTY = 10.0
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 WIDE, ROWS = 64, 20_000
+ENCODED_BYTES = 1 << 20
 
 
 class DoubleArrayTrie:
@@ -318,7 +319,7 @@ def encode_documents(docs: DataFrame, model: str, *, with_ids: bool = True, with
         c = codec.value
         is_byte = np.zeros(len(c.pieces.texts), "i8")
         is_byte[c.pieces.byte_ids] = 1
-        for b in pieces(batches):
+        for b in pieces(batches, ENCODED_BYTES):
             ids, bounds = c.encode_all(b["text"])
             back = c.decode_all(ids, bounds)
             each = [memoryview(ids[i:j]).cast("B") for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

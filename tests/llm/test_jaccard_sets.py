@@ -111,7 +111,7 @@ def test_groups_of_copies_against_brute_force(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: tuple(r)[1:] for r in J.jaccard_components(docs).collect()}
     assert got == brute.jaccard_components(rows)
-    index = J.index(docs, J.bitmaps(docs, 10**5))
+    index = J.index(docs, spark.sparkContext.broadcast(J.bitmaps(docs, 10**5)))
     short = index.where("tokens IS NOT NULL").select("key", F.col("doc_id").alias("node"), "tokens")
     assert J.combination_postings(J.shared_tokens(short, 10**4)).where("budget >= 0").count()  # frequent tokens are indexed in combinations
 
@@ -149,3 +149,16 @@ def test_texts_by_shuffle(spark, monkeypatch):
     rows = list(enumerate(_groups(7)))
     got = {r["doc_id"]: tuple(r)[1:] for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.jaccard_components(rows)
+
+
+@pytest.mark.parametrize("held", [1, 10**6])
+def test_components_of_chains_and_stars(spark, monkeypatch, held):
+    monkeypatch.setattr(J, "CONTRACTED", held)
+    draw = random.Random(held)
+    order = list(range(300))
+    draw.shuffle(order)
+    edges = [*zip(order[:100], order[1:101]), *((order[150], x) for x in order[151:200]), (7, 7)]
+    got = dict(tuple(r) for r in J.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect())
+    want = {x: min(order[:101]) for x in order[:101]} | {x: min(order[150:200]) for x in order[150:200]}
+    assert {k: v for k, v in got.items() if k in want} == want and set(got) - set(want) <= {7}
+    assert J.components(spark.createDataFrame([], "a long, b long")).count() == 0
