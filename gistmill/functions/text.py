@@ -54,3 +54,8 @@ def terms(col: Column, stopwords: list[str] | None = None) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+
+
+def cost_micros(tokens_in: Column, tokens_out: Column, price_in: int, price_out: int) -> Column:
+    """Cost in millionths of a unit, at prices a million tokens."""
+    return tokens_in * price_in + tokens_out * price_out

@@ -15,14 +15,15 @@ def last_turns(turns: DataFrame, n: int) -> DataFrame:
 
 
 def constraints(turns: DataFrame, most: int = 20) -> DataFrame:
-    """Lines of 8 to 240 characters that state a constraint, first occurrence each, at most ``most`` a conversation."""
+    """Lines of 8 to 240 characters that state a constraint, without list marks, first occurrence each whatever its case, at most ``most`` a conversation."""
     line = turns.select("conv_id", "turn", F.posexplode(F.split("text", r"\n")).alias("pos", "raw")).withColumn("line", X.trim(F.col("raw")))
     states = F.lit(False)
     for p in P.CONSTRAINTS:
         states = states | F.col("line").rlike(X.java(p, True))
     hits = line.where(F.char_length("line").between(8, 240) & states)
-    first = hits.groupBy("conv_id", "line").agg(F.min(F.struct("turn", "pos")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("at", "line"))
+    clean = F.regexp_replace(F.regexp_replace("line", r"^[-*]\s+", ""), r"^\d+\.\s+", "")
+    first = hits.withColumn("line", clean).groupBy("conv_id", F.lower("line").alias("key")).agg(F.min(F.struct("turn", "pos", "line")).alias("at")).withColumn("line", F.col("at.line"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))
     return first.withColumn("k", rank).where(F.col("k") <= most).select("conv_id", "k", "line", F.col("at.turn").alias("turn"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -31,10 +31,6 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
 
 def unused(defined: DataFrame, used: DataFrame) -> DataFrame:
     """Names that no other file uses; the defining file does not count."""
-    pairs = defined.join(used.withColumnRenamed("file", "user"), "name").where("file <> user").select("file", "name").distinct()
-    return defined.join(pairs, ["file", "name"], "left_anti")
-
-
-def top_levels(names: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))
-    return names.withColumn("k", rank).where(F.col("k") <= k)
+    users = used.groupBy("name").agg(F.min("file").alias("lo"), F.max("file").alias("hi"))  # another file uses it if either differs
+    found = defined.join(users, "name", "left").where(F.col("lo").isNull() | ((F.col("lo") == F.col("file")) & (F.col("hi") == F.col("file"))))
+    return found.select(*defined.columns)

@@ -10,13 +10,13 @@ from ..functions import text as X
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
-    """Per document and normalised line: count, first line, error and warning marks of any member; blanks go."""
+    """Per document and normalised line: count, first line, whether any member speaks of errors or warnings; blanks go."""
     norm = X.replace_all(F.col("line"), P.GENERIC_LINE)
-    is_error = F.col("line").rlike(X.java(r"\b(error|Error|ERROR|fail|Fail|FAIL|fatal|Fatal|FATAL)\b"))
-    return (
-        lines.withColumn("norm", norm).where(F.col("norm") != "").groupBy("doc_id", "norm")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("first_line"), F.max(is_error).alias("has_error"))
-    )
+    marks = [F.col("line").rlike(X.java(p)) for p in (P.ERROR_LINE, P.WARNING_LINE)]
+    grouped = lines.groupBy("doc_id", norm.alias("norm")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("first_line"), F.max(marks[0]).alias("has_error"), F.max(marks[1]).alias("has_warning")
+    )
+    return grouped.where(F.col("norm") != "")  # after the grouping: the chain of replacements runs once a line
 
 
 def runs(lines: DataFrame, least: int) -> DataFrame:

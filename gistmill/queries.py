@@ -81,9 +81,16 @@ def log_timespan(spark, sf_dir):
     return logs.timespan(_parsed(spark, sf_dir))
 
 
-@query(f"""WITH {_PARSED}, f AS (SELECT *, {_chain('lower(message)', P.SCORE_PATTERN)} AS form FROM p), c AS (SELECT form, count(*) AS n FROM f GROUP BY 1),
-s AS (SELECT event_id, level, n, round(0.3 * CASE level WHEN 'error' THEN 1.0 WHEN 'warning' THEN 0.7 WHEN 'info' THEN 0.3 ELSE 0.1 END::DOUBLE + 0.2 * (1 - n / (SELECT max(n) FROM c)), 6) AS score FROM f JOIN c USING (form)),
-r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, event_id) AS k FROM s) SELECT level, k, event_id, score, n FROM r WHERE k <= 10""")
+_ENTRIES = f"""{_PARSED}, m AS (SELECT message, count(*) AS n FROM p GROUP BY 1), f AS (SELECT *, {_chain('lower(message)', P.SCORE_PATTERN)} AS form FROM m), c AS (SELECT form, sum(n) AS often FROM f GROUP BY 1),
+w AS (SELECT event_id, unnest(list_filter({_TERMS.format('message')}, lambda w: NOT list_contains({_STOP}, w))) AS term FROM p), t1 AS (SELECT event_id, term, count(*) AS c FROM w GROUP BY ALL),
+t2 AS (SELECT event_id, term, c / sum(c) OVER (PARTITION BY event_id) AS tf, count(*) OVER (PARTITION BY term) AS df FROM t1), t3 AS (SELECT event_id, least(avg(tf * ln((SELECT count(*) FROM p) / df)) / 2, 1.0) AS t FROM t2 GROUP BY 1),
+i AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS total FROM p),
+s AS (SELECT i.event_id, level, often::BIGINT AS n, round(greatest(0, least(1, 0.3::DOUBLE * CASE level WHEN 'error' THEN 1.0 WHEN 'warning' THEN 0.7 WHEN 'info' THEN 0.3 ELSE 0.1 END::DOUBLE + 0.3::DOUBLE * coalesce(t, 0)
++ 0.2::DOUBLE * CASE WHEN total <= 1 THEN 1.0 WHEN i < 5 THEN 1.0 - i / 5 * 0.3::DOUBLE WHEN total - 1 - i < 5 THEN 0.7::DOUBLE + (1 - (total - 1 - i) / 5) * 0.3::DOUBLE ELSE 0.3::DOUBLE + 0.4::DOUBLE * abs((i - 5) / (total - 10) - 0.5::DOUBLE) * 2 END::DOUBLE
++ 0.2::DOUBLE * (1 - often / (SELECT max(often) FROM c)))), 6) AS score FROM i JOIN f USING (message) JOIN c USING (form) LEFT JOIN t3 ON t3.event_id = i.event_id)"""
+
+
+@query(f"""WITH {_ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, event_id) AS k FROM s) SELECT level, k, event_id, score, n FROM r WHERE k <= 10""")
 def log_score_topk(spark, sf_dir):
     return logs.scores(_parsed(spark, sf_dir), "event_id", 10)
 
@@ -106,7 +113,7 @@ def http_status_histogram(spark, sf_dir):
 _ERR = r"'\b(error|Error|ERROR|fail|Fail|FAIL|fatal|Fatal|FATAL)\b'"
 
 
-@query(f"WITH {_DOC_LINES}, n AS (SELECT *, {_chain('line', P.GENERIC_LINE)} AS norm FROM l) SELECT doc_id, norm, count(*) AS n, min(line_no) AS first_line, bool_or(regexp_matches(line, {_ERR})) AS has_error FROM n WHERE norm <> '' GROUP BY 1, 2")
+@query(f"WITH {_DOC_LINES}, n AS (SELECT *, {_chain('line', P.GENERIC_LINE)} AS norm FROM l) SELECT doc_id, norm, count(*) AS n, min(line_no) AS first_line, bool_or(regexp_matches(line, {_ERR})) AS has_error, bool_or(regexp_matches(line, {_q(P.WARNING_LINE)})) AS has_warning FROM n WHERE norm <> '' GROUP BY 1, 2")
 def generic_line_groups(spark, sf_dir):
     return lines.line_groups(T.lines(_docs(spark, sf_dir)))
 
@@ -163,10 +170,10 @@ def tfidf_terms(spark, sf_dir):
     return t.select("doc_id", "line_no", "term", *[F.round(c, 6).alias(c) for c in ("tf", "idf", "tfidf")])
 
 
-_SCORED = rf"""{_TFIDF}, seg AS (SELECT doc_id, line_no, least(avg(tf * idf) / 2, 1.0) AS t FROM ti GROUP BY ALL), pos AS (SELECT *, line_no / greatest(count(*) OVER (PARTITION BY doc_id) - 1, 1) AS place FROM l),
-sc AS (SELECT doc_id, line_no, ceil(length(line) / 4.0)::BIGINT AS tokens, round(0.4::DOUBLE * coalesce(t, 0) + 0.3::DOUBLE * CASE WHEN place < 0.1 THEN 1.0 WHEN place > 0.9 THEN 0.85 WHEN place < 0.3 THEN 0.7 ELSE 0.6 END::DOUBLE
-+ 0.3::DOUBLE * least(CASE WHEN regexp_matches(line, {_q(P.KEYWORDS['errors'])}) THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(line, {_q(P.KEYWORDS['instructions'])}) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(line, '\?\s*$') THEN 0.2 ELSE 0 END, 1)::DOUBLE, 6) AS score
-FROM pos LEFT JOIN seg USING (doc_id, line_no))"""
+_WORDS = " + ".join(f"CASE WHEN regexp_matches(line, {_q(p)}) THEN {w} ELSE 0 END::DOUBLE" for p, w in P.KEYWORDS.values())
+_SCORED = f"""{_TFIDF}, seg AS (SELECT doc_id, line_no, least(avg(tf * idf) / 2, 1.0) AS t FROM ti GROUP BY ALL), pos AS (SELECT *, line_no / count(*) OVER (PARTITION BY doc_id) AS place FROM l),
+sc AS (SELECT doc_id, line_no, ceil(length(line) / 4.0)::BIGINT AS tokens, round(0.4::DOUBLE * coalesce(t, 0) + 0.3::DOUBLE * CASE WHEN place <= 0.1::DOUBLE OR place >= 0.9::DOUBLE THEN 1.0 WHEN place <= 0.2::DOUBLE OR place >= 0.8::DOUBLE THEN 0.85
+WHEN place <= 0.3::DOUBLE OR place >= 0.7::DOUBLE THEN 0.7 ELSE 0.6 END::DOUBLE + 0.3::DOUBLE * least({_WORDS}, 1), 6) AS score FROM pos LEFT JOIN seg USING (doc_id, line_no))"""
 
 
 @query(f"WITH {_SCORED} SELECT doc_id, line_no::INT AS line_no, tokens, score FROM sc")
@@ -264,7 +271,7 @@ def diff_context(spark, sf_dir):
     return build.diff_context(_diff(spark, sf_dir))
 
 
-_CHAT = "concat(text, chr(10), CASE turn % 5 WHEN 0 THEN 'You must never drop table t' WHEN 1 THEN 'We decided to use parquet files. Fine' WHEN 2 THEN concat('See src/app', conv_id % 7, '.ts and lib/x.py') ELSE 'ok' END)"
+_CHAT = "concat(text, chr(10), CASE turn % 5 WHEN 0 THEN concat(CASE conv_id % 3 WHEN 0 THEN '- ' WHEN 1 THEN '2. ' ELSE '' END, CASE turn % 2 WHEN 0 THEN 'You must' ELSE 'YOU MUST' END, ' never drop table t') WHEN 1 THEN 'We decided to use parquet files. Fine' WHEN 2 THEN concat('See src/app', conv_id % 7, '.ts and lib/x.py') ELSE 'ok' END)"
 
 
 def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +288,8 @@ def conv_last_n(spark, sf_dir):
 
 @query(f"""WITH {_CHATS}, l AS (SELECT conv_id, turn, {_trim('unnest(string_split(text, chr(10)))')} AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM c),
 h AS (SELECT * FROM l WHERE length(line) BETWEEN 8 AND 240 AND ({' OR '.join(f"regexp_matches(line, {_q(p)}, 'i')" for p in P.CONSTRAINTS)})),
-f AS (SELECT conv_id, line, min(turn * 1000000 + pos) AS place, min(turn) AS turn FROM h GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, line) AS k FROM f) SELECT conv_id, k, line, turn FROM r WHERE k <= 20""")
+x AS (SELECT conv_id, turn, turn * 1000000 + pos AS place, regexp_replace(regexp_replace(line, '^[-*]\\s+', ''), '^\\d+\\.\\s+', '') AS line FROM h),
+f AS (SELECT conv_id, arg_min(line, place) AS line, min(place) AS place, min(turn) AS turn FROM x GROUP BY conv_id, lower(line)), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS k FROM f) SELECT conv_id, k, line, turn FROM r WHERE k <= 20""")
 def conv_constraints(spark, sf_dir):
     return conversation.constraints(_chat(spark, sf_dir))
 
@@ -330,24 +338,9 @@ def quick_scan(spark, sf_dir):
     return graph.quick_scan(rows)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 40 AS src, (p_partkey * 7 + p_size) % 40 AS dst FROM part), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 3)
-SELECT src, dst, min(depth) AS depth FROM r GROUP BY 1, 2""")
-def recursive_deps(spark, sf_dir):
-    e = T.table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 40).alias("dst"))
-    return graph.closure(e, 3)
-
-
-@query("""WITH d AS (SELECT DISTINCT p_partkey % 50 AS file, p_size AS name FROM part), u AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey % 30 AS name FROM lineitem WHERE l_quantity > 49)
-SELECT file, name FROM d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.name = d.name AND u.file <> d.file)""")
-def dead_exports(spark, sf_dir):
-    d = T.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("file"), F.col("p_size").alias("name")).distinct()
-    u = T.table(spark, sf_dir, "lineitem").where("l_quantity > 49").select((F.col("l_suppkey") % 50).alias("file"), (F.col("l_partkey") % 30).alias("name")).distinct()
-    return graph.unused(d, u)
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, (p_partkey * 7 + p_size) % (SELECT max(p_partkey) FROM part) + 1 AS dst FROM part), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON r.dst = e.src WHERE depth < 5)
 SELECT src, dst, min(depth) AS depth, src = dst AS cycle FROM r GROUP BY 1, 2""")
-def recursive_deps_whole(spark, sf_dir):
+def recursive_deps(spark, sf_dir):
     part = T.table(spark, sf_dir, "part")
     last = part.agg(F.max("p_partkey").alias("last"))
     e = part.crossJoin(F.broadcast(last)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("last") + 1).alias("dst"))  # one row
@@ -356,7 +349,7 @@ def recursive_deps_whole(spark, sf_dir):
 
 @query("""WITH d AS (SELECT DISTINCT p_partkey % 50 AS file, p_partkey * 64 + p_size AS name FROM part), u AS (SELECT DISTINCT l_suppkey % 50 AS file, l_partkey * 64 + l_quantity::BIGINT AS name FROM lineitem)
 SELECT file, name FROM d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.name = d.name AND u.file <> d.file)""")
-def dead_exports_whole(spark, sf_dir):
+def dead_exports(spark, sf_dir):
     d = T.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("file"), (F.col("p_partkey") * 64 + F.col("p_size")).alias("name")).distinct()
     u = T.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("file"), (F.col("l_partkey") * 64 + F.col("l_quantity").cast("long")).alias("name")).distinct()
     return graph.unused(d, u)
@@ -409,3 +402,6 @@ SELECT *, CASE greatest(error, warning, info, debug) WHEN error THEN 'error' WHE
 def dominant_levels(spark, sf_dir):
     users = T.table(spark, sf_dir, "events").select("event_id", "user_id")
     return sharing.dominant_level(_parsed(spark, sf_dir).join(users, "event_id"), "user_id")
+
+
+from . import detector_queries  # noqa: E402, F401  registers its queries

@@ -56,9 +56,9 @@ def test_whole_graph_queries(spark):
     from gistmill import queries as Q
 
     sf = "/root/testdata/sf0.001"
-    deps = Q.QUERIES["recursive_deps_whole"](spark, sf)
+    deps = Q.QUERIES["recursive_deps"](spark, sf)
     assert {r["depth"] for r in deps.select("depth").distinct().collect()} == {1, 2, 3, 4, 5}
     assert deps.select("src").distinct().count() == spark.read.parquet(f"{sf}/part.parquet").count()
     assert all(r["cycle"] == (r["src"] == r["dst"]) for r in deps.collect())
-    dead = Q.QUERIES["dead_exports_whole"](spark, sf).count()
+    dead = Q.QUERIES["dead_exports"](spark, sf).count()
     assert 0 < dead < spark.read.parquet(f"{sf}/part.parquet").count()
