@@ -18,9 +18,10 @@ def compiler_errors(lines: DataFrame) -> DataFrame:
 
 
 def error_groups(errors: DataFrame) -> DataFrame:
-    """Per signature (code and normalised message): count, files, first file."""
+    """Per signature (code and normalised message): count, files, first file. Each distinct message is normalised once."""
+    distinct = errors.groupBy("code", "message", "file").agg(F.count(F.lit(1)).alias("n"))
     signature = F.concat("code", F.lit(": "), X.replace_all(F.col("message"), P.ERROR_SIGNATURE))
-    return errors.groupBy(signature.alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"), F.min("file").alias("first_file"))
+    return distinct.groupBy(signature.alias("signature")).agg(F.sum("n").alias("n"), F.countDistinct("file").alias("files"), F.min("file").alias("first_file"))
 
 
 def error_stats(errors: DataFrame) -> DataFrame:
