@@ -8,18 +8,19 @@ a document with a smaller doc_id; every byte that such strings cover goes.
    make a block, known by the hashes of its anchor and of all its bytes. Equal blocks of several
    documents keep the least doc_id; in all others their windows are repeated. Anchors whose
    blocks are all equal are settled: no further window can match in part.
-2. *Suffixes.* Blocks that share an anchor but differ hold what is left to compare. Their
-   texts are fragments whose suffixes are sorted by a difference cover modulo 3: suffixes at
-   places 1 and 2 modulo 3 are sorted by triples of 8-byte words and named; the recursion sorts triples of
-   names, which reach past 50 bytes, so one level suffices; the remaining suffixes (0 modulo 3) are
-   merged in, each compared by the bytes before the next sampled suffix and that one's rank.
-   Adjacent suffixes whose first 50 bytes agree form a class; its least doc_id marks the others.
+2. *Suffixes.* Blocks that share an anchor but differ hold what is left to compare. Their bytes
+   travel to the part of their anchor, where equal windows must meet, and the suffix array of
+   all bytes of a part is built by the difference cover modulo 3: suffixes at places 1 and 2
+   modulo 3 are sorted by triples and named, the names form a text that is sorted in the same way until
+   all are unique (the recursion), and the suffixes at 0 modulo 3 are merged in by the symbols
+   before the next sampled suffix and that one's rank. Adjacent suffixes whose first 50
+   bytes agree form a class; its least doc_id marks the others.
 3. *Cutting.* Repeated windows of each document become maximal runs, and the rest is hashed.
 
-A suffix array over every byte would sort two thirds of all positions in 16-byte tuples, ten
-times the input; step 1 settles equal blocks first, so only places where copies begin, end or
-differ are sorted. Blocks move as packed arrays; equal blocks of a map batch are merged before
-the shuffle, so a passage of a third of all documents sends one entry a batch.
+A suffix array over every byte would move each position several times as a row, ten times the
+input; step 1 settles equal blocks first, so only bytes around places where copies begin, end
+or differ are sorted. Blocks and fragments move as packed arrays; equal blocks of a map batch are merged
+before the shuffle, so a passage of a third of all documents sends one entry a batch.
 
 Edge cases: null counts as empty; texts under 50 bytes lose nothing; matches never cross
 documents; rows that repeat a doc_id must repeat its text and get equal results, and do not count as smaller;
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import text_bytes, write_table
 
 LENGTH = 50
 GRAM = 16
@@ -46,6 +47,8 @@ _SPAN = LENGTH - GRAM + 1
 #: A window that holds an anchor also holds so many bytes on one side of it.
 HALF = (LENGTH - GRAM) // 2
 BUCKET_BYTES = 16 << 20
+#: Parts of fragments to a bucket of blocks: a suffix array takes about 100 bytes a byte of a part.
+PARTS = 4
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 _TABLE = np.random.default_rng(5).integers(0, 2**64, 256, dtype="u8")
 _POWER = np.uint64(0x5851F42D4C957F2D)
@@ -185,6 +188,17 @@ def _take(x: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v[keep] for k, v in x.items()}
 
 
+def _fragments(x: dict[str, np.ndarray], parts: int) -> list[tuple[int, int, bytes]]:
+    """(FRAGMENT, doc, packed (first, count, part of the anchor) triples) of each document."""
+    if not len(x["doc"]):
+        return []
+    x = _take(x, np.lexsort((x["first"], x["doc"])))
+    part = _mix(x["anchor"].astype("u8")) % np.uint64(parts)
+    at = np.flatnonzero(np.concatenate([[True], x["doc"][1:] != x["doc"][:-1]]))
+    triples = np.stack([x["first"].astype("<u4"), x["count"].astype("<u4"), part.astype("<u4")], axis=1)
+    return [(FRAGMENT, int(x["doc"][a]), triples[a:b].tobytes()) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(x["doc"])], strict=True)]
+
+
 def _ranges(x: dict[str, np.ndarray], kind: int) -> list[tuple[int, int, bytes]]:
     """(kind, doc, packed (first, count) pairs) of each document."""
     if not len(x["doc"]):
@@ -241,7 +255,8 @@ def block_ranges(docs: DataFrame, buckets: int) -> DataFrame:
         passed = [(k, None, d, p) for k, d, p in zip(kinds, table["doc_id"].to_pylist(), data, strict=True) if k == REPEATED]
         x, repeated = _settle(_unpack([p for k, p in zip(kinds, data, strict=True) if k == BLOCK]))
         out = passed + [(k, None, d, p) for k, d, p in _ranges(_take(x, repeated), REPEATED)]
-        out += [(k, None, d, p) for k, d, p in _ranges(_unsettled(_take(x, ~repeated)), FRAGMENT)]
+        with np.errstate(over="ignore"):
+            out += [(k, None, d, p) for k, d, p in _fragments(_unsettled(_take(x, ~repeated)), PARTS * buckets)]
         return pa.Table.from_batches([_batch(out)])
 
     dealt = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(deal, _OUT)
@@ -249,174 +264,111 @@ def block_ranges(docs: DataFrame, buckets: int) -> DataFrame:
     return write_table(settled.select("kind", "doc_id", "data"), "ranges")
 
 
-_NAME = 24  # bytes that one name covers: three words
-
-
-def _fragment_rows(docs: DataFrame, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(windows, places): windows with their bytes around names, and the sampled places whose triples need names."""
-    wanted = fragments.groupBy("doc_id").agg(F.collect_list("data").alias("parts"))
-    texts = docs.select("doc_id", F.encode("text", "utf-8").alias("text"))
-    rows = texts.join(wanted, "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, doc in enumerate(b["doc_id"].to_pylist()):
-                data = np.frombuffer(b["text"][i].as_buffer(), "u1")
-                pairs = np.frombuffer(b"".join(b["parts"][i].as_py()), "<u4").reshape(-1, 2).astype("i8")
-                at = np.unique(np.concatenate([np.arange(f, f + n) for f, n in pairs.tolist()]))
-                w = _words(np.concatenate([data, np.zeros(_NAME + 8, "u1")]))
-                places = np.unique(np.concatenate([at + d for d in (0, 1, 2, 24, 25, 26)]))
-                places = places[(places % 3 != 0) & (places + _NAME <= len(data))]
-                n = len(at)
-                cols = [np.concatenate([at, places]), np.concatenate([w[at], w[places]]), np.concatenate([w[at + 42], w[places + 8]]), np.concatenate([w[at], w[places + 16]])]
-                kind = np.concatenate([np.zeros(n, "i4"), np.ones(len(places), "i4")])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(kind), doc, "i8")), pa.array(kind), pa.array(cols[0])] + [pa.array(c.view("i8")) for c in cols[1:]],
-                    names=["doc", "kind", "at", "w1", "w2", "w3"],
-                )
-
-    found = write_table(rows.mapInArrow(cut, "doc long, kind int, at long, w1 long, w2 long, w3 long"), "suffixes").distinct()
-    return found.where("kind = 0").select("doc", "at", F.col("w1").alias("head"), F.col("w2").alias("tail")), found.where("kind = 1").select(F.col("doc").alias("owner"), F.col("at").alias("place"), "w1", "w2", "w3")
-
-
-def _order(c: str):
-    """A 64-bit word in byte order although the column is signed."""
-    return F.col(c).bitwiseXOR(F.lit(-(2**63)))
-
-
-def triple_names(places: DataFrame) -> DataFrame:
-    """(w1, w2, w3, name): dense names of the distinct triples in byte order: sorted by ranges, numbered within, offset by prefix sums."""
-    triples = places.select("w1", "w2", "w3").distinct().select("*", *[_order(c).alias(f"o{c}") for c in ("w1", "w2", "w3")])
-    spark = places.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["w1"], b["w2"], b["w3"], b["part"], pa.array(np.arange(seen, seen + b.num_rows))], names=["w1", "w2", "w3", "part", "local"])
-            seen += b.num_rows
-
-    ranged = triples.repartitionByRange(n, "ow1", "ow2", "ow3").sortWithinPartitions("ow1", "ow2", "ow3").withColumn("part", F.spark_partition_id())
-    numbered = write_table(ranged.select("w1", "w2", "w3", "part").mapInArrow(number, "w1 long, w2 long, w3 long, part int, local long"), "triples")
-    sizes = sorted((r["part"], r["n"]) for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
-    bases, base = [], 0
-    for part, size in sizes:
-        bases.append((part, base))
-        base += size
-    offsets = spark.createDataFrame(bases, "part int, base long")
-    return numbered.join(F.broadcast(offsets), "part").select("w1", "w2", "w3", (F.col("base") + F.col("local")).alias("name"))
-
-
-_KEYED = "head long, doc long, at long, b0 int, b1 int, b48 int, b49 int, r0 long, r24 long, r1 long, r25 long, r2 long, r26 long"
-
-
-def _with_names(windows: DataFrame, places: DataFrame) -> DataFrame:
-    """Windows with the names that their comparisons use (-1 where a comparison cannot need one)."""
-    named = places.join(triple_names(places), ["w1", "w2", "w3"]).select("owner", "place", "name")
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = left["at"].to_numpy()
-        place, name = right["place"].to_numpy(), right["name"].to_numpy()
-        order = np.argsort(place)
-        place, name = place[order], name[order]
-
-        def of(step: int) -> np.ndarray:
-            if not len(place):
-                return np.full(len(at), -1)
-            i = np.minimum(np.searchsorted(place, at + step), len(place) - 1)
-            return np.where(place[i] == at + step, name[i], -1)
-
-        head, tail = left["head"].to_numpy().view("u8"), left["tail"].to_numpy().view("u8")  # bytes 0 to 7, and 42 to 49
-        byte = lambda w, k: ((w >> np.uint64(8 * (7 - k))) & np.uint64(255)).astype("i4")
-        cols = [left["head"], left["doc"], left["at"], byte(head, 0), byte(head, 1), byte(tail, 6), byte(tail, 7)] + [of(k) for k in (0, 24, 1, 25, 2, 26)]
-        return pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=[x.split()[0] for x in _KEYED.split(", ")])
-
-    return windows.groupBy("doc").cogroup(named.groupBy("owner")).applyInArrow(look_up, _KEYED)
-
-
-def merge_suffixes(rows: list[dict]) -> list[int]:
-    """Class number of each suffix, numbered in the order of their first LENGTH bytes.
-
-    Suffixes at places 1 and 2 modulo 3 are sorted by two names and two bytes, those at 0 modulo 3 by one byte and the names
-    behind it; both lists are merged by the comparison that the difference cover allows for the pair.
+def _named(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Dense names from 1 on of the keys in their order, and how many there are."""
+    distinct, names = np.unique(keys, return_inverse=True)
+    return names.astype("i8") + 1, len(distinct)
+
+
+def suffix_ranks(s: np.ndarray) -> np.ndarray:
+    """Rank of each suffix of ``s`` (integers, 1 or more), a shorter one before those that it begins: difference cover modulo 3."""
+    n = len(s)
+    if n < 2:
+        return np.zeros(n, "i8")
+    padded = np.concatenate([s.astype("i8"), np.zeros(3, "i8")])
+    size = int(padded.max()) + 1
+    pair = padded[:-1] * size + padded[1:]
+    if size * size * max(size, n + 2) >= 2**63:
+        pair = _named(pair)[0]
+    # suffixes at 1 and 2 modulo 3; the empty one ends the first list where its last triple would not show the end
+    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    sample = np.concatenate([ones, twos])
+    names, found = _named(pair[sample] * size + padded[np.minimum(sample + 2, n)])
+    order = np.empty(len(sample), "i8")
+    if found < len(sample):  # the text of names, sorted in the same way
+        order[suffix_ranks(names)] = sample
+    else:
+        order[names - 1] = sample
+    m = len(order)
+    rank = np.zeros(n + 3, "i8")
+    rank[order] = np.arange(1, m + 1)
+    # those at 0 modulo 3 by one symbol and the rank behind it, each placed among both lists of sampled ones
+    rest = np.arange(0, n, 3)
+    rest = rest[np.argsort(padded[rest] * (m + 1) + rank[rest + 1])]
+    first, second = order[order % 3 == 1], order[order % 3 == 2]
+    before = np.searchsorted(padded[first] * (m + 1) + rank[first + 1], padded[rest] * (m + 1) + rank[rest + 1])
+    before += np.searchsorted(pair[second] * (m + 1) + rank[second + 2], pair[rest] * (m + 1) + rank[rest + 2])
+    out = np.empty(n + 1, "i8")
+    out[rest] = np.arange(len(rest)) + before
+    out[order] = np.arange(m) + np.cumsum(np.bincount(before, minlength=m + 1))[:m]
+    return out[:n] - (n % 3 == 1)  # the empty suffix takes no rank
+
+
+def shared_windows(data: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, window) of the windows that a fragment of a smaller document has too.
+
+    ``data`` holds the fragments one behind the other, each of ``count`` windows and so of ``count`` + LENGTH - 1 bytes.
     """
-    sampled = sorted((i for i, r in enumerate(rows) if r["at"] % 3), key=lambda i: _sampled(rows[i]))
-    others = sorted((i for i, r in enumerate(rows) if r["at"] % 3 == 0), key=lambda i: _one(rows[i]))
-    merged, a, b = [], 0, 0
-    while a < len(sampled) and b < len(others):
-        x, y = rows[sampled[a]], rows[others[b]]
-        key = _one if x["at"] % 3 == 1 else _two
-        if key(x) <= key(y):
-            merged.append(sampled[a])
-            a += 1
-        else:
-            merged.append(others[b])
-            b += 1
-    merged += sampled[a:] + others[b:]
-    out, last, number = [0] * len(rows), None, -1
-    for i in merged:
-        if last is None or not _agree(rows[last], rows[i]):
-            number += 1
-        out[i] = number
-        last = i
-    return out
-
-
-def _sampled(r: dict) -> tuple:
-    return r["r0"], r["r24"], r["b48"], r["b49"]
-
-
-def _one(r: dict) -> tuple:
-    return r["b0"], r["r1"], r["r25"], r["b49"]
-
-
-def _two(r: dict) -> tuple:
-    return r["b0"], r["b1"], r["r2"], r["r26"]
-
-
-def _agree(x: dict, y: dict) -> bool:
-    """Whether the first LENGTH bytes agree: compared by what both places have names for."""
-    p, q = sorted((x["at"] % 3, y["at"] % 3))
-    key = _sampled if p else _one if q < 2 else _two
-    return key(x) == key(y)
+    sizes = count + LENGTH - 1
+    begin = np.cumsum(sizes + 1) - (sizes + 1)  # each fragment ends with a symbol below all bytes
+    at = np.arange(len(data)) + np.repeat(np.arange(len(doc)), sizes)
+    symbols, plain = np.ones(len(data) + len(doc), "i8"), np.zeros(len(data) + len(doc) + LENGTH, "u1")
+    symbols[at], plain[at] = data.astype("i8") + 2, data
+    fragment = np.repeat(np.arange(len(doc)), count)
+    window = np.arange(len(fragment)) - np.repeat(np.cumsum(count) - count, count)
+    place = begin[fragment] + window
+    order = np.argsort(suffix_ranks(symbols)[place])
+    place, owner = place[order], doc[fragment[order]]
+    words = _words(plain)
+    new = np.zeros(len(place), bool)
+    new[:1] = True
+    for step in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        w = words[place + step]
+        new[1:] |= w[1:] != w[:-1]
+    least = np.minimum.reduceat(owner, np.flatnonzero(new))[np.cumsum(new) - 1]
+    found = order[owner > least]
+    return fragment[found], window[found]
+
+
+_PART = "part int, doc binary, first binary, count binary, data binary"
 
 
 def repeated_windows(docs: DataFrame, fragments: DataFrame) -> DataFrame:
     """(doc_id, data): windows of the fragments that a smaller document has too."""
-    keyed = _with_names(*_fragment_rows(docs, fragments))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(group: list[dict]) -> list[dict]:
-            number = merge_suffixes(group)
-            least: dict[int, int] = {}
-            for k, r in zip(number, group, strict=True):
-                least[k] = min(least.get(k, r["doc"]), r["doc"])
-            return [r for k, r in zip(number, group, strict=True) if r["doc"] > least[k]]
-
-        held: list[dict] = []
+    wanted = fragments.groupBy("doc_id").agg(F.collect_list("data").alias("parts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[dict] = []
-            for r in b.to_pylist():
-                if held and held[0]["head"] != r["head"]:
-                    out += close(held) if len(held) > 1 else []
-                    held = []
-                held.append(r)
+            data, bounds = text_bytes(b["text"])
+            packed = [b"".join(p) for p in b["parts"].to_pylist()]
+            row = np.repeat(np.arange(b.num_rows), [len(p) // 12 for p in packed])
+            first, count, part = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 3).astype("i8").T
+            order = np.argsort(part, kind="stable")
+            row, first, count, part = row[order], first[order], count[order], part[order]
+            begin = bounds[row] + first
+            sizes = count + LENGTH - 1
+            ends = np.cumsum(sizes)
+            found = data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)]
+            doc = b["doc_id"].to_numpy()[row]
+            ids, at = np.unique(part, return_index=True)
+            out = []
+            for i, a, z in zip(ids.tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
+                held = found[int(ends[a] - sizes[a]) : int(ends[z - 1])]
+                out.append((i, doc[a:z].astype("<i8").tobytes(), first[a:z].astype("<u4").tobytes(), count[a:z].astype("u1").tobytes(), held.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in ("doc", "at")], names=["doc", "at"])
-        out = close(held) if len(held) > 1 else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in ("doc", "at")], names=["doc", "at"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        at = np.sort(table["at"].to_numpy())
-        x = {"doc": np.full(len(at), table["doc"][0].as_py(), "i8"), "first": at, "count": np.ones(len(at), "i8")}
+                kinds = [pa.int32()] + [pa.binary()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "doc", "first", "count", "data"])
+
+    def sort(table: pa.Table) -> pa.Table:
+        column = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        doc, first, count = column("doc", "<i8"), column("first", "<u4"), column("count", "u1").astype("i8")
+        fragment, window = shared_windows(column("data", "u1"), doc, count)
+        x = {"doc": doc[fragment], "first": first[fragment].astype("i8") + window, "count": np.ones(len(fragment), "i8")}
         found = _ranges(x, REPEATED)
         return pa.table({"doc_id": pa.array([d for _, d, _ in found], pa.int64()), "data": pa.array([p for _, _, p in found], pa.binary())})
 
-    # suffixes that share their first word meet in one range; the rest of the order is decided there
-    shared = keyed.repartitionByRange(n, "head").sortWithinPartitions("head").mapInArrow(adjacent, "doc long, at long")
-    return shared.groupBy("doc").applyInArrow(pack, "doc_id long, data binary")
+    rows = docs.join(wanted, "doc_id").select("doc_id", "text", "parts")
+    return rows.mapInArrow(cut, _PART).groupBy("part").applyInArrow(sort, "doc_id long, data binary")
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
