@@ -245,3 +245,34 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 def test_digest_column_is_of_the_whole_text(spark):
     row = sentencepiece_codec.encode_documents(spark.createDataFrame([(1, LONG)], "doc_id long, text string"), sentencepiece_codec.default_model()).first()
     assert row["decoded_sha256"] == hashlib.sha256(LONG.encode()).hexdigest()
+
+
+def test_suffix_ranks_against_sorted_suffixes():
+    r = np.random.default_rng(1)
+    for _ in range(400):
+        s = r.integers(1, int(r.integers(2, 5)), int(r.integers(0, 40)))
+        want = np.empty(len(s), int)
+        want[sorted(range(len(s)), key=lambda i: tuple(s[i:]))] = range(len(s))
+        assert suffix_dedup.suffix_ranks(s).tolist() == want.tolist()
+
+
+def test_shared_windows_against_a_table_of_windows():
+    r = np.random.default_rng(2)
+    base = bytes(r.integers(97, 100, 300).astype("u1"))
+    for _ in range(40):
+        rows = []
+        for _ in range(12):
+            count, at = int(r.integers(1, 36)), int(r.integers(0, 200))
+            x = bytearray(base[at : at + count + suffix_dedup.LENGTH - 1])
+            if r.random() < 0.5:
+                x[int(r.integers(0, len(x)))] = 65
+            rows.append((int(r.integers(0, 6)), count, bytes(x)))
+        least: dict[bytes, int] = {}
+        for doc, count, x in rows:
+            for i in range(count):
+                w = x[i : i + suffix_dedup.LENGTH]
+                least[w] = min(least.get(w, doc), doc)
+        want = {(f, i) for f, (doc, count, x) in enumerate(rows) for i in range(count) if least[x[i : i + suffix_dedup.LENGTH]] < doc}
+        data = np.frombuffer(b"".join(x for *_, x in rows), "u1")
+        got = suffix_dedup.shared_windows(data, np.array([d for d, *_ in rows]), np.array([c for _, c, _ in rows]))
+        assert set(zip(*(v.tolist() for v in got), strict=True)) == want
