@@ -69,3 +69,18 @@ def language(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
     pairs = [F.lit(x) for name, exts in P.LANGUAGES.items() for e in exts.split() for x in (e, name)]
     return F.coalesce(F.element_at(F.create_map(*pairs), ext), F.lit("unknown"))
+
+
+def strategy(text: Column, content_type: Column) -> Column:
+    """How a text is condensed: as build output or a diff if it looks like one, else by its content type."""
+    build = text.rlike("(?i)" + P.BUILD_PLACE)
+    for word in P.BUILD_WORDS:
+        build = build | F.contains(text, F.lit(word))
+    diff = F.contains(text, F.lit("diff --git ")) | (F.contains(text, F.lit("--- a/")) & F.contains(text, F.lit("+++ b/"))) | text.rlike(P.DIFF_HUNK)
+    by_type = F.when(content_type == "code", "semantic").when(content_type.isin("logs", "stacktrace", "config"), content_type).otherwise("auto")
+    return F.when(build, "build").when(diff, "diff").otherwise(by_type)
+
+
+def blocked(path: Column) -> Column:
+    """Whether the access policy keeps a path from being read: its name or itself matches the denylist."""
+    return any_of(F.regexp_extract(path, r"([^/]*)/*\z", 1), P.BLOCKED_PATHS) | any_of(path, P.BLOCKED_PATHS)

@@ -48,8 +48,8 @@ def grep(lines: DataFrame, pattern: str) -> DataFrame:
     return hits.select("doc_id", "line_no", F.regexp_instr("line", F.lit(pattern)).cast("long").alias("col"), F.regexp_count("line", F.lit(pattern)).cast("long").alias("matches"))
 
 
-def content_type(docs: DataFrame) -> DataFrame:
-    """Ordered rules: short texts are generic, then trace, log lines (30 %), JSON, code, generic."""
+def content_type(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Ordered rules: short texts are generic, then trace, log lines (30 %), JSON, code, generic. Columns of ``keep`` stay."""
     t = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(t, "\n", -1)
     logs = F.size(F.filter(lines, lambda x: x.rlike(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"))) / F.size(lines)
@@ -61,7 +61,7 @@ def content_type(docs: DataFrame) -> DataFrame:
         .when(t.rlike(r"(?m)^(import|export|const|let|var|function|class|interface|type|def|fn|func|struct)\s+\S+.*[({;=]"), "code")
         .otherwise("generic")
     )
-    return docs.select("doc_id", kind.alias("content_type"))
+    return docs.select("doc_id", *(keep or []), kind.alias("content_type"))
 
 
 def token_report(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,36 @@ def changed_files(numstat: DataFrame, statuses: DataFrame) -> DataFrame:
     named = statuses.where(X.trim(F.col("line")) != "").select(F.element_at(part, -1).alias("file"), "line_no", kind.alias("status"))
     last = named.groupBy("file").agg(F.max_by("status", "line_no").alias("status"))
     return files.join(last, "file", "left").withColumn("status", F.coalesce("status", F.lit("modified")))
+
+
+def webpack_errors(lines: DataFrame) -> DataFrame:
+    """Errors with the last module message before the next error; those without one go."""
+    so_far = Window.partitionBy("doc_id").orderBy("line_no")
+    head = F.when(F.col("line").rlike(P.WEBPACK_ERROR), F.col("line"))
+    message = F.when(~F.col("line").rlike(P.WEBPACK_ERROR) & F.col("line").rlike(P.WEBPACK_MODULE), F.regexp_extract("line", P.WEBPACK_MODULE, 1))
+    marked = lines.select("*", head.alias("head"), message.alias("message")).withColumn("error", F.count("head").over(so_far)).where("error > 0")
+    found = marked.groupBy("doc_id", "error").agg(F.max("head").alias("head"), F.max_by("message", F.when(F.col("message").isNotNull(), F.col("line_no"))).alias("message"))
+    part = lambda i: F.regexp_extract("head", P.WEBPACK_ERROR, i)
+    number = lambda i: F.when(part(i) == "", 0).otherwise(part(i).cast("long"))
+    return found.where("message <> ''").select(
+        "doc_id", "error", part(1).alias("file"), number(2).alias("row"), number(3).alias("col"), "message", _signature(F.lit("WEBPACK"), F.col("message")).alias("signature")
+    )
+
+
+def generic_errors(lines: DataFrame) -> DataFrame:
+    """Errors and warnings of any tool, each with the last place named up to it and after the finding before it."""
+    so_far = Window.partitionBy("doc_id").orderBy("line_no")
+    line = F.col("line")
+    part = lambda p, i: F.regexp_extract(line, "(?i)" + p, i)
+    finding = lambda p, severity, code: F.when(
+        line.rlike("(?i)" + p), F.struct(F.lit(severity).alias("severity"), F.when(part(p, 1) != "", part(p, 1)).otherwise(code).alias("code"), part(p, 2).alias("message"))
+    )
+    spot = lambda i: F.regexp_extract(line, P.GENERIC_PLACE, i)
+    place = F.when(line.rlike(P.GENERIC_PLACE), F.struct(spot(1).alias("file"), spot(2).cast("long").alias("row"), F.coalesce(F.when(spot(3) != "", spot(3)).cast("long"), F.lit(0)).alias("col")))
+    marked = lines.select("doc_id", "line_no", F.coalesce(finding(P.GENERIC_ERROR, "error", "ERROR"), finding(P.GENERIC_WARNING, "warning", "WARNING")).alias("f"), place.alias("place"))
+    island = marked.withColumn("island", F.count("f").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = island.withColumn("at", F.last("place", ignorenulls=True).over(Window.partitionBy("doc_id", "island").orderBy("line_no"))).where("f IS NOT NULL")
+    return placed.select(
+        "doc_id", "line_no", "f.severity", "f.code", "f.message", _signature(F.col("f.code"), F.col("f.message")).alias("signature"),
+        F.coalesce("at.file", F.lit("unknown")).alias("file"), F.coalesce("at.row", F.lit(0)).alias("row"), F.coalesce("at.col", F.lit(0)).alias("col"),
+    )

@@ -50,3 +50,24 @@ def savings_lines(calls: DataFrame) -> DataFrame:
     number = lambda c: F.format_number(F.col(c), 0)
     text = F.concat(F.lit("[saved "), number("saved"), F.lit(" tokens ("), share.cast("string"), F.lit("%) this call; session total "), number("total"), F.lit(" tokens over "), F.col("calls").cast("string"), F.lit(" calls]"))
     return rows.select("session", "call", text.alias("text"))
+
+
+def diff_summary(files: DataFrame) -> DataFrame:
+    """(doc_id, text): totals of a diff, then its files by status; ``files`` has line_no, old_path, path, status, additions, deletions, hunks."""
+    size, plural = F.col("hunks").cast("string"), F.when(F.col("hunks") == 1, "").otherwise("s")
+    changed = F.concat(F.lit(": +"), "additions", F.lit("/-"), "deletions", F.lit(", "), size, F.lit(" hunk"), plural)
+    entry = (
+        F.when(F.col("status") == "added", F.concat("path", F.lit(" (+"), "additions", F.lit(")")))
+        .when(F.col("status") == "modified", F.concat(F.col("path"), changed))
+        .when(F.col("status") == "deleted", F.concat("old_path", F.lit(" (-"), "deletions", F.lit(")")))
+        .otherwise(F.concat("old_path", F.lit(" -> "), "path"))
+    )
+    rank = F.array_position(F.array(*[F.lit(s) for s in ("added", "modified", "deleted", "renamed")]), F.col("status"))
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("- "), "entry").alias("e")))), lambda x: x["e"]), "\n")
+    sections = files.select("*", entry.alias("entry"), rank.alias("rank")).groupBy("doc_id", "status", "rank").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"), entries.alias("entries")
+    )
+    section = F.concat(F.lit("### "), F.initcap("status"), F.lit(" ("), "n", F.lit(")\n"), "entries")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", section.alias("s")))), lambda x: x["s"]), "\n\n")
+    head = F.concat(F.lit("## Diff Summary\n- Files changed: "), F.sum("n"), F.lit("\n- Additions: +"), F.sum("a"), F.lit("\n- Deletions: -"), F.sum("d"), F.lit("\n\n"))
+    return sections.groupBy("doc_id").agg(F.concat(head, joined).alias("text"))

@@ -404,4 +404,4 @@ def dominant_levels(spark, sf_dir):
     return sharing.dominant_level(_parsed(spark, sf_dir).join(users, "event_id"), "user_id")
 
 
-from . import detector_queries  # noqa: E402, F401  registers its queries
+from . import detector_queries, search_queries  # noqa: E402, F401  register their queries
