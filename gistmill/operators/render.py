@@ -71,3 +71,33 @@ def diff_summary(files: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", section.alias("s")))), lambda x: x["s"]), "\n\n")
     head = F.concat(F.lit("## Diff Summary\n- Files changed: "), F.sum("n"), F.lit("\n- Additions: +"), F.sum("a"), F.lit("\n- Deletions: -"), F.sum("d"), F.lit("\n\n"))
     return sections.groupBy("doc_id").agg(F.concat(head, joined).alias("text"))
+
+
+def error_groups(groups: DataFrame, threshold: int = 2, keep_first: int = 1) -> DataFrame:
+    """(doc_id, text): groups of ``threshold`` or more in full, most frequent first, then some rarer ones by their first line.
+
+    ``groups`` has first_no (order of appearance), code, message, n, first and the array locations.
+    """
+    repeated, most = F.col("n") >= threshold, keep_first * 5
+    rank = F.row_number().over(Window.partitionBy("doc_id", repeated).orderBy(F.desc("n"), "first_no"))
+    title = F.concat(F.when(F.col("code") == "", "").otherwise(F.concat("code", F.lit(": "))), truncated(F.col("message"), 80))
+    others, left = F.array_join(F.slice("locations", 2, 5), ", "), F.size("locations") - 6
+    also = F.when(F.size("locations") > 1, F.concat(F.lit("   Also in: "), others, F.when(left > 0, F.concat(F.lit(" (+"), left, F.lit(" more)"))).otherwise(""), F.lit("\n"))).otherwise("")
+    full = F.concat("k", F.lit(". "), title, F.lit("\n   Occurrences: "), "n", F.lit("\n   First: "), truncated(F.col("first"), 100), F.lit("\n"), also)
+    ranked = groups.withColumn("repeated", repeated).withColumn("k", rank)
+    entry = ranked.select("doc_id", "repeated", "k", F.when(F.col("repeated"), full).otherwise(F.concat(F.lit("  "), "first")).alias("entry"))
+    listed = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("k", "entry")))), lambda x: x["entry"])
+    rare = F.count_if(~F.col("repeated"))
+    found = entry.groupBy("doc_id").agg(listed(F.col("repeated")).alias("all"), listed(~F.col("repeated") & (F.col("k") <= most)).alias("some"), (rare - most).alias("more"))
+    empty = F.array().cast("array<string>")
+    top = F.when(F.size("all") > 0, F.concat(F.array(F.lit("DEDUPLICATED ERRORS:")), "all")).otherwise(empty)
+    rest = F.when(F.col("more") > 0, F.array(F.concat(F.lit("  ...and "), "more", F.lit(" more unique errors")))).otherwise(empty)
+    bottom = F.when(F.size("some") > 0, F.concat(F.array(F.lit("UNIQUE ERRORS:")), "some", rest, F.array(F.lit("")))).otherwise(empty)
+    return found.select("doc_id", F.array_join(F.concat(top, bottom), "\n").alias("text"))
+
+
+def concatenated(files: DataFrame) -> DataFrame:
+    """(doc_id, text): the files of each doc_id one behind the other in order of path, each under its path."""
+    part = F.concat(F.lit("// === "), "path", F.lit(" ===\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", part.alias("p")))), lambda x: x["p"])
+    return files.groupBy("doc_id").agg(F.array_join(parts, "\n").alias("text"))

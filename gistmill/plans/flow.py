@@ -70,5 +70,38 @@ class Flow:
     def apply(self, f: Callable[[DataFrame], DataFrame], name: str = "apply") -> Flow:
         return self._then(name, f(self.df))
 
+    def run(self, steps: list[dict]) -> Flow:
+        """Steps given as data, each a dict of one step: filter, map, reduce, limit, skip, sort (a key, or key and direction) or unique (keys)."""
+        flow = self
+        for step in steps:
+            if len(step) != 1:
+                raise ValueError(f"a step has one name: {sorted(step)}")
+            name, value = next(iter(step.items()))
+            match name:
+                case "filter":
+                    flow = flow.filter(value)
+                case "map" | "reduce":
+                    flow = getattr(flow, name)(**{n: F.expr(c) for n, c in value.items()})
+                case "limit":
+                    flow = flow.take(value)
+                case "skip":
+                    flow = flow.skip(value)
+                case "sort":
+                    key, direction = (value, "asc") if isinstance(value, str) else value
+                    flow = flow.sort(F.desc(key) if direction == "desc" else F.asc(key))
+                case "unique":
+                    flow = flow.unique(*([value] if isinstance(value, str) else value))
+                case _:
+                    raise ValueError(f"unknown step: {name}")
+        return flow
+
+    def recover(self, other: Callable[[Exception], DataFrame], check: Callable[[DataFrame], object] = DataFrame.count) -> Flow:
+        """This flow if ``check`` (an action) runs over it, else the frame that ``other`` makes of the error."""
+        try:
+            check(self.df)
+        except Exception as error:  # whatever the steps before raised
+            return self._then("recover", other(error))
+        return self._then("recover", self.df)
+
     def build(self) -> DataFrame:
         return self.df

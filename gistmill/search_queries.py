@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .detector_queries import _any, _headed, _HEADS, _match, _signature, _x
 from .functions import patterns as P
-from .operators import detect, graph, lines, parsers, render, search, segments
-from .queries import _CODE, _docs, _q, _trim, query
+from .operators import detect, graph, lines, parsers, render, scoring, search, segments
+from .plans.flow import Flow
+from .queries import _CODE, ORACLE_SQL, _docs, _q, _trim, query
 from .sources import tables as T
 
 
@@ -120,3 +121,48 @@ def _split_columns(columns: str) -> list[str]:
             out.append(columns[at:i])
             at = i + 1
     return [*out, columns[at:]]
+
+
+_REFS = """CASE o_orderkey % 6 WHEN 0 THEN concat('  export const run = f', o_orderkey, '()') WHEN 1 THEN 'import { a, run } from "x"' WHEN 2 THEN concat('    return run(', o_orderkey, ') + run(2)') WHEN 3 THEN 'run run' WHEN 4 THEN 'import runner' ELSE 'rerun()' END"""
+_DEF, _IMP = P.DEFINED + r"run\b", r"import\s+(?:\{[^}]*\brun\b[^}]*\}|run)"
+
+
+@query(rf"""WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS line_no, {_REFS} AS line FROM orders), k AS (SELECT *, CASE WHEN {_match('line', _DEF, False)} THEN 'definition' WHEN {_match('line', _IMP, False)} THEN 'import' WHEN {_match('line', r'\brun\b', False)} THEN 'usage' END AS kind, string_split_regex(line, '\brun\b') AS s FROM o),
+p AS (SELECT doc_id, line_no, kind, line, unnest(CASE kind WHEN 'definition' THEN [length({_x(f'^(.*?){_DEF}', 1)}) + 1] WHEN 'import' THEN [length({_x(f'^(.*?){_IMP}', 1)}) + 1]
+ELSE list_transform(range(1, len(s)), lambda k: length(array_to_string(s[1:k], '')) + (k - 1) * 3 + 1) END) AS col FROM k WHERE kind IS NOT NULL) SELECT doc_id, line_no, kind, col::INT AS col, {_trim('line')} AS context FROM p""")
+def symbol_references(spark, sf_dir):
+    return search.references(_orders(spark, sf_dir, _REFS), "run")
+
+
+_ERROR = "o_custkey AS doc_id, o_orderkey AS line_no, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE concat('TS', o_orderkey % 2) END AS code, concat(repeat('cannot read the field of x ', 1 + o_orderkey % 4), o_orderkey % 8) AS message, concat('f', o_orderkey, '.ts:3') AS place"
+
+
+@query(f"""WITH e AS (SELECT {_ERROR} FROM orders), g AS (SELECT doc_id, code, message, min(line_no) AS first_no, count(*) AS n, arg_min(place, line_no) || ' ' || message AS first, list(place ORDER BY line_no) AS l FROM e GROUP BY 1, 2, 3),
+r AS (SELECT *, n >= 2 AS rep, row_number() OVER (PARTITION BY doc_id, n >= 2 ORDER BY n DESC, first_no) AS k FROM g),
+t AS (SELECT doc_id, rep, k, CASE WHEN rep THEN k || '. ' || CASE code WHEN '' THEN '' ELSE code || ': ' END || CASE WHEN length(message) <= 80 THEN message ELSE left(message, 77) || '...' END || chr(10) || '   Occurrences: ' || n || chr(10) || '   First: '
+|| CASE WHEN length(first) <= 100 THEN first ELSE left(first, 97) || '...' END || chr(10) || CASE WHEN len(l) > 1 THEN '   Also in: ' || array_to_string(l[2:6], ', ') || CASE WHEN len(l) > 6 THEN ' (+' || (len(l) - 6) || ' more)' ELSE '' END || chr(10) ELSE '' END ELSE '  ' || first END AS entry FROM r),
+d AS (SELECT doc_id, string_agg(entry, chr(10) ORDER BY k) FILTER (rep) AS a, string_agg(entry, chr(10) ORDER BY k) FILTER (NOT rep AND k <= 5) AS s, count(*) FILTER (NOT rep) - 5 AS more FROM t GROUP BY 1)
+SELECT doc_id, concat_ws(chr(10), 'DEDUPLICATED ERRORS:' || chr(10) || a, 'UNIQUE ERRORS:' || chr(10) || s || CASE WHEN more > 0 THEN chr(10) || '  ...and ' || more || ' more unique errors' ELSE '' END || chr(10)) AS text FROM d""")
+def error_group_text(spark, sf_dir):
+    found = T.table(spark, sf_dir, "orders").selectExpr(*_split_columns(_ERROR)).groupBy("doc_id", "code", "message").agg(
+        F.min("line_no").alias("first_no"), F.count(F.lit(1)).alias("n"), F.min_by("place", "line_no").alias("at"), F.array_sort(F.collect_list(F.struct("line_no", "place"))).alias("places")
+    )
+    return render.error_groups(found.withColumn("first", F.concat("at", F.lit(" "), "message")).withColumn("locations", F.col("places.place")))
+
+
+@query("""SELECT o_custkey AS doc_id, string_agg('// === src/f' || o_orderkey || '.ts ===' || chr(10) || o_orderpriority || chr(10), chr(10) ORDER BY 'src/f' || o_orderkey || '.ts') AS text FROM orders GROUP BY 1""")
+def concatenated_files(spark, sf_dir):
+    files = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.expr("concat('src/f', o_orderkey, '.ts')").alias("path"), F.col("o_orderpriority").alias("content"))
+    return render.concatenated(files)
+
+
+@query("WITH f AS (SELECT doc_id, lang, n_chars // 100 AS size FROM documents WHERE n_chars > 200) SELECT lang, max(size) AS largest, count(*) AS n FROM (SELECT DISTINCT lang, size FROM f) GROUP BY 1 HAVING max(size) > 5")
+def step_array(spark, sf_dir):
+    steps = [{"filter": "n_chars > 200"}, {"map": {"size": "n_chars div 100"}}, {"unique": ["lang", "size"]}]
+    distinct = Flow(_docs(spark, sf_dir)).run(steps).build()
+    return Flow(distinct.groupBy("lang").agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("n"))).run([{"filter": "largest > 5"}]).build()
+
+
+@query(ORACLE_SQL["semantic_select"].replace("floor(sum(tokens) * 0.5)::BIGINT", "60::BIGINT"))
+def budget_fill(spark, sf_dir):
+    return scoring.select_budget(scoring.segment_scores(T.lines(_docs(spark, sf_dir))), most=60)
