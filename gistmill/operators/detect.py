@@ -84,3 +84,10 @@ def strategy(text: Column, content_type: Column) -> Column:
 def blocked(path: Column) -> Column:
     """Whether the access policy keeps a path from being read: its name or itself matches the denylist."""
     return any_of(F.regexp_extract(path, r"([^/]*)/*\z", 1), P.BLOCKED_PATHS) | any_of(path, P.BLOCKED_PATHS)
+
+
+def analysis(content_type: Column) -> list[Column]:
+    """The condenser that a content type gets, and how much it is likely to save (an indication, not a measure)."""
+    condenser = F.when(content_type.isin("logs", "stacktrace", "config"), content_type).otherwise("generic")
+    saving = F.when(content_type == "logs", "70-90%").when(content_type == "stacktrace", "50-80%").when(content_type == "config", "30-60%").otherwise("20-50%")
+    return [condenser.alias("condenser"), saving.alias("saving")]

@@ -9,6 +9,7 @@ from .functions import patterns as P
 from .operators import detect, graph, lines, parsers, render, scoring, search, segments
 from .plans.flow import Flow
 from .queries import _CODE, ORACLE_SQL, _docs, _q, _trim, query
+from .sources import files
 from .sources import tables as T
 
 
@@ -166,3 +167,24 @@ def step_array(spark, sf_dir):
 @query(ORACLE_SQL["semantic_select"].replace("floor(sum(tokens) * 0.5)::BIGINT", "60::BIGINT"))
 def budget_fill(spark, sf_dir):
     return scoring.select_budget(scoring.segment_scores(T.lines(_docs(spark, sf_dir))), most=60)
+
+
+@query(f"""WITH {_HEADS}, c AS (SELECT doc_id, {_TYPED} AS content_type FROM h) SELECT doc_id, content_type, CASE WHEN content_type IN ('logs', 'stacktrace', 'config') THEN content_type ELSE 'generic' END AS condenser,
+CASE content_type WHEN 'logs' THEN '70-90%' WHEN 'stacktrace' THEN '50-80%' WHEN 'config' THEN '30-60%' ELSE '20-50%' END AS saving FROM c""")
+def content_analysis(spark, sf_dir):
+    typed = lines.content_type(_headed(spark, sf_dir).withColumnRenamed("t", "text"))
+    return typed.select("doc_id", "content_type", *detect.analysis(F.col("content_type")))
+
+
+_TREE = "concat(CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('a', p_partkey % 7, '/b', p_partkey % 5, '/') ELSE 'c/d/e/f/g/h/i/' END, 'f', p_partkey, '.ts')"
+
+
+@query(f"""WITH f AS (SELECT p_size AS size, string_split({_TREE}, '/')[:-2] AS parts FROM part), e AS (SELECT size, parts, unnest(range(0, least(len(parts), 5) + 1)) AS level FROM f)
+SELECT array_to_string(parts[1:level], '/') AS folder, level::INT AS level, count(*) AS files, sum(size)::BIGINT AS size FROM e GROUP BY 1, 2""")
+def folder_tree(spark, sf_dir):
+    return files.tree(T.table(spark, sf_dir, "part").select(F.expr(_TREE).alias("path"), F.col("p_size").alias("size")))
+
+
+@query(f"WITH f AS (SELECT {_TREE} AS path FROM part) SELECT path FROM f WHERE regexp_matches(path, 'f\\d*1\\.ts$') ORDER BY path LIMIT 500")
+def file_search(spark, sf_dir):
+    return files.search(T.table(spark, sf_dir, "part").select(F.expr(_TREE).alias("path")), r"f\d*1\.ts\z")
