@@ -261,7 +261,7 @@ def block_ranges(docs: DataFrame, buckets: int) -> DataFrame:
 
     dealt = docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(deal, _OUT)
     settled = dealt.groupBy("bucket").applyInArrow(compare, _OUT)
-    return write_table(settled.select("kind", "doc_id", "data"), "ranges")
+    return write_table(settled.select("kind", "doc_id", "data"), "ranges", drop_shuffles=True)  # the blocks are over twice the input
 
 
 def _named(keys: np.ndarray) -> tuple[np.ndarray, int]:

@@ -3,12 +3,13 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from gistmill.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, url_filters, warc
+from gistmill.llm import common, mixing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, url_filters, warc
 from tests.llm import brute
 
 CLASH = "key string, row string, size string, source_key string, copies int, _key string, _size int, _ string, locator string, id int, words int, part int, node int, n int"
@@ -277,3 +278,18 @@ def test_shared_windows_against_a_table_of_windows():
         data = np.frombuffer(b"".join(x for *_, x in rows), "u1")
         got = suffix_dedup.shared_windows(data, np.array([d for d, *_ in rows]), np.array([c for _, c, _ in rows]))
         assert set(zip(*(v.tolist() for v in got), strict=True)) == want
+
+
+def test_blocks_of_suffix_dedup_leave_no_shuffle_files(spark):
+    docs = spark.createDataFrame([(k, f"{k} " + "a passage that all of these documents share, " * 3) for k in range(40)], "doc_id long, text string")
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # what other tests have left may go first
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before = str(held.keySet())
+    ranges = suffix_dedup.block_ranges(docs, 4)
+    until = time.time() + 5
+    while str(held.keySet()) != before and time.time() < until:
+        time.sleep(0.1)
+    assert str(held.keySet()) == before
+    assert ranges.where(f"kind = {suffix_dedup.REPEATED}").select("doc_id").distinct().count() == 39
+    assert spark.conf.get(common.CLEANUP) == "false"
