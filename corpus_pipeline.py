@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gistmill.llm import exact_dedup, jaccard_join, mixing, quality_classifier, sentencepiece_codec
-from gistmill.llm.common import documents, write_table
+from gistmill.llm.common import documents, release_memory, write_table
 
 #: Near copies share 80 % of their 5-word shingles; op10 keeps its own 4 words and 85 %.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -41,12 +41,25 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model(), with_text=True)
 
 
+
+def lean(stage: Stage) -> Stage:
+    """``stage``, with what ended jobs hold in the driver and on disks given back before it and once its plan stands."""
+
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_memory(spark)
+        out = stage(spark, docs, sf_dir)
+        release_memory(spark)
+        return out
+
+    return run_lean
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_classifier", classify),
-    ("exact_dedup", dedup),
-    ("jaccard_join", near_dedup),
-    ("mixing", mix),
-    ("sentencepiece", encode),
+    ("quality_classifier", lean(classify)),
+    ("exact_dedup", lean(dedup)),
+    ("jaccard_join", lean(near_dedup)),
+    ("mixing", lean(mix)),
+    ("sentencepiece", lean(encode)),
 ]
 
 #: Training, random rounding and Viterbi have no SQL form; tests compare with brute force.

@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, drop_tables, pieces, skew_join, write_table
+from .common import SPACES, drop_tables, pieces, release_memory, skew_join, write_table
 
 SHINGLE = 4
 PERCENT = 85
@@ -463,6 +463,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges, old = write_table(small, "edges"), edges
         drop_tables(old)
+        release_memory(links.sparkSession)
         now = mark(edges)
         if now == before:
             break
@@ -490,12 +491,14 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     first = groups.where("node IS NOT NULL").select(F.col("key").alias("_key"), "node")
     own = rows.join(first, F.expr("key = _key AND doc_id = node")).dropDuplicates(["key"])  # one row of each set
     own = write_table(own.select("key", "node", F.col("n_shingles").alias("n"), "sketch", "singles", "tokens"), "own")
+    release_memory(docs.sparkSession)
     short = own.where("tokens IS NOT NULL")
     postings = write_table(combination_postings(shared_tokens(short, stats["tokens"] or 0), percent), "postings")
     combos = postings.where("budget >= 0")
     pairs = _list_pairs(own.select(F.explode("singles").alias("sig"), "node")).union(_list_pairs(postings.where("budget < 0")))
     pairs = pairs.union(star_pairs(combos, combos.count(), percent)).where("a <> b").distinct()
     tried = write_table(plausible_pairs(pairs, own, percent), "pairs")
+    release_memory(docs.sparkSession)
     links = write_table(linked_pairs(tried, docs, shingle, percent).union(_several_sets(rows, groups)), "links")
     comp = components(links)
     across = crossing_pairs(combos, comp, own.select("node", "sketch").dropDuplicates(["node"]), percent).distinct().join(tried, ["a", "b"], "left_anti")
